@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash
+from quarry.llm import bpe, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op7_quality": quality.op7_quality,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
