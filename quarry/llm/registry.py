@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, quality, simhash
+from quarry.llm import bpe, html, licenses, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_licenses": licenses.op4_licenses,
     "op7_quality": quality.op7_quality,
+    "op9_html": html.op9_html,
     "op10_bpe": bpe.op10_bpe,
 }
 
