@@ -27,7 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, documents
@@ -38,7 +38,7 @@ SPAN, DECAY = 5, 0.6
 LONG, STEP = 24, 12
 CODES = 64
 #: What learning takes at most: documents of each class, bytes of text, landmarks, rounds of multiple instances.
-MAX_DOCS, MAX_BYTES, LANDMARKS, ROUNDS = 3000, 16_000_000, 192, 3
+MAX_DOCS, MAX_BYTES, LANDMARKS, ROUNDS = 3000, 16_000_000, 128, 3
 #: Sharpness of the kernel, chosen on the documents held back.
 SHARPNESS = (4.0, 8.0)
 #: Score from which a document counts as toxic when models are compared.
@@ -46,7 +46,7 @@ AIM = 0.3
 #: Toxic documents below which the logistic model learns from the same documents as the words.
 FEW = 60
 #: Words whose margins a worker remembers.
-TABLE = 600_000
+TABLE = 900_000
 SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -103,10 +103,14 @@ def subsequences(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.n
             weights.append(np.full(width - j, w))
     w, codes = np.concatenate(weights), np.concatenate(found, axis=1)
     scale = np.full(len(words), 1 / np.sqrt((w * w).sum()))
-    low = np.sort(codes, axis=1)
-    for k in np.flatnonzero((low[:, 1:] == low[:, :-1]).any(axis=1)).tolist():  # equal subsequences add up
-        _, which = np.unique(codes[k], return_inverse=True)
-        scale[k] = 1 / np.sqrt((np.bincount(which, w) ** 2).sum())
+    order = np.argsort(codes, axis=1)
+    low = np.take_along_axis(codes, order, 1)
+    new = np.ones(low.shape, bool)
+    new[:, 1:] = low[:, 1:] != low[:, :-1]
+    twice = np.flatnonzero(~new.all(axis=1))
+    if len(twice):  # equal subsequences add up
+        sums = np.add.reduceat(w[order[twice]].ravel(), np.flatnonzero(new[twice].ravel()))
+        scale[twice] = 1 / np.sqrt(np.add.reduceat(sums * sums, np.concatenate(([0], np.cumsum(new[twice].sum(axis=1))[:-1]))))
     return codes, w, scale
 
 
@@ -332,14 +336,16 @@ class Scorer:
         if self.model is None:
             return np.zeros(len(texts))
         found = [tokens(x) if x else [] for x in texts]
-        new = set().union(*map(set, found)).difference(self.known) if found else set()
-        if len(self.known) + len(new) > TABLE:
-            self.known.clear()
+        known = self.known
+        new = set().union(*map(set, found)).difference(known) if found else set()
+        if len(known) + len(new) > TABLE:
+            known.clear()
             new = set().union(*map(set, found))
-        raw = list(new)
-        plain = [letters(t) for t in raw]
-        m = margins(plain, self.model.machine)
-        self.known.update(zip(raw, (x if p else np.nan for x, p in zip(m.tolist(), plain))))
+        plain = dict(zip(new, map(letters, new)))
+        words = list(set(plain.values()).difference(known) - {""})
+        known.update(zip(words, margins(words, self.model.machine).tolist()))
+        known[""] = np.nan
+        known.update([(raw, known[word]) for raw, word in plain.items()])
         get = self.known.__getitem__
         out = np.empty(len(texts))
         for k, doc in enumerate(found):
@@ -359,23 +365,33 @@ def _scorer(model: Model | None) -> Scorer:
     return _last[0]
 
 
-def held_out():
+def held_out() -> Column:
     """Whether a row is never learned from: crc32 of doc_id as text, modulo 4, is 2."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model | None:
     """The model from the labelled rows of `docs` that are not held out: a hash sample of each class within the bounds."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = written(rows.join(known, "doc_id"), "toxicity-labelled")
-    size = {r["toxic"]: (r["n"], r["b"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    least = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(least) < 2:
+        return None
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+
+    def chosen(share: dict[int, float]) -> Column:
+        keep = F.lit(False)
+        for toxic, part in share.items():
+            keep = keep | ((F.col("toxic") == toxic) & (place < int(1_000_000 * min(1.0, part))))
+        return keep
+
+    few = known.where(chosen({t: max_docs / n for t, n in least.items()}))  # about max_docs ids of each class: small enough to broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    rows = written(rows.join(F.broadcast(few), "doc_id"), "toxicity-labelled")
+    size = {r["toxic"]: r["b"] for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if len(size) < 2:
         return None
-    keep = F.lit(False)
-    for toxic, (n, b) in size.items():
-        share = min(1.0, max_docs / n, max_bytes / 2 / max(b, 1))
-        keep = keep | ((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)))
+    keep = chosen({t: min(1.0, max_docs / least[t]) * max_bytes / 2 / max(b, 1) for t, b in size.items() if b > max_bytes / 2} | {t: 1.0 for t, b in size.items() if b <= max_bytes / 2})
     got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows.where(keep).select("doc_id", "text", "toxic").toLocalIterator()), key=lambda r: (r[0], r[1]))
     back = np.array([zlib.crc32(b"back%d" % i) % 3 == 0 for i, _, _ in got], bool)
     return learn([x for _, x, _ in got], np.array([t == 1 for _, _, t in got], bool), back)
