@@ -18,17 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python functions planned from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def lowered(text: bytes | None) -> bytes:
-    """A-Z in lower case; other bytes stay (null: empty)."""
-    return text.lower() if text else b""
-
-
 def _state(edges: DataFrame) -> tuple[int, int]:
     """Row count and an order-free hash: equal when nothing moved."""
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()

@@ -296,6 +296,14 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """What is searched, a pass over the documents each."""
+    for block in _blocks(benchmark, block_bytes):
+        index = build(block)
+        if index.items:
+            yield index
+
+
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, edits long, item_words long"
 
 
@@ -303,10 +311,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     """A row for each document and item that it holds with at most a fifth of the item's words edited: the best place."""
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in _blocks(benchmark, block_bytes):
-        index = build(block)
-        if not index.items:
-            continue
+    for index in indexes(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(index)  # a few times block_bytes
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -82,8 +82,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _measure_batches, SCHEMA)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    """The base rule; `of` gives the column of a number's name."""
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
 def _covers(rule: Rule, x: np.ndarray) -> np.ndarray:
@@ -161,13 +162,13 @@ def learn(x: np.ndarray, bad: np.ndarray, third: np.ndarray, precision: float =
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], of: Callable[[str], Column] = F.col) -> Column:
     """True unless a rule of the list rejects: WHEN rule 1 THEN false WHEN rule 2 THEN false ... ELSE true."""
     out = F
     for rule in rules:
         cond = F.lit(True)
         for name, sign, cut in rule:
-            cond = cond & (F.col(name) > cut if sign == ">" else F.col(name) <= cut)
+            cond = cond & (of(name) > cut if sign == ">" else of(name) <= cut)
         out = out.when(cond, F.lit(False))
     return F.lit(True) if out is F else out.otherwise(F.lit(True))
 

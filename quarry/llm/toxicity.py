@@ -358,7 +358,7 @@ class Scorer:
 _last: list[Scorer] = []
 
 
-def _scorer(model: Model | None) -> Scorer:
+def scorer(model: Model | None) -> Scorer:
     """The worker's scorer, kept as long as the model is the same object."""
     if not _last or _last[0].model is not model:
         _last[:] = [Scorer(model)]
@@ -402,9 +402,9 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the landmarks' subsequences and weights: about 10 MB
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+        score = scorer(shared.value).score
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batches, "doc_id long, score double")
 
