@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators import predicates
+from quarry.operators import predicates, profile, ranking, vectors, workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (predicates,):
+for module in (predicates, profile, ranking, workload, vectors):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
