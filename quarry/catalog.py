@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators import predicates, profile, ranking, vectors, workload
+from quarry.operators import predicates, profile, ranking, synth, vectors, workload
+from quarry.plans import candidates, ranker, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (predicates, profile, ranking, workload, vectors):
+for module in (predicates, profile, ranking, workload, vectors, synth, tree, ranker, candidates):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
