@@ -8,7 +8,7 @@ split again by blocks of their other bits, up to three levels, before they reach
 forest of its links, never all pairs of a group.
 
 Inputs: null and empty texts have fingerprint zero, linked like any other. Repeated doc_ids are rows of their own with
-the same id. Empty tables give empty results. Columns other than the id and the text are ignored.
+the same id; rows without an id get the component of their fingerprint's other rows, or null. Empty tables give empty results. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 3, id_col: str
     """(doc_id, fp, component_id) per document; component_id the smallest doc_id reachable over links of <= budget bits."""
     prints = written(fingerprints(docs, size, id_col, text_col), "simhash-fp")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    parts = components(links(distinct, budget), "simhash")
+    parts = components(links(distinct.where(F.col("id").isNotNull()), budget), "simhash")
     known = distinct.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 

@@ -149,9 +149,12 @@ def margins(words: list[str], machine: Machine) -> np.ndarray:
 
 
 def tokens(text: str) -> list[str]:
-    """White-space separated tokens; runs of four or more single characters are also read as one."""
+    """White-space separated tokens; runs of four or more single characters are also read as one word, long runs as the words of five to eight letters in them."""
     found = text.split()
-    return found + [m.replace(" ", "") for m in SPELLED.findall(text)]
+    for m in SPELLED.findall(text):
+        run = m.replace(" ", "")
+        found += [run] if len(run) <= 8 else [run[i : i + n] for n in (5, 6, 7, 8) for i in range(len(run) - n + 1)]
+    return found
 
 
 def document_features(m: np.ndarray, marked: float) -> tuple[float, float, float]:
@@ -412,7 +415,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     out = scores(docs, train(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
