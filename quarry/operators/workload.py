@@ -137,6 +137,18 @@ def workload(spark: SparkSession) -> DataFrame:
     return parsed(spark, list(enumerate(WORKLOAD)))
 
 
+def pattern_parts(texts: DataFrame) -> DataFrame:
+    """(query_id, joins, filter_columns) of (query_id, sql) by patterns alone, without parsing: any number of texts, in Spark.
+
+    A join is two dotted names around `=`, its sides in order; a filter column is a dotted name before an operator whose
+    right side is no dotted name. Numbers are no names, and longer operators are tried first."""
+    name, op = r"[A-Za-z_]\\w*\\.[A-Za-z_]\\w*", "(?i:!=|<>|>=|<=|=|>|<|LIKE|IN|BETWEEN|IS|NOT)"
+    join = F.expr(f"regexp_extract_all(sql, '({name}\\\\s*=\\\\s*{name})', 1)")
+    column = F.expr(f"regexp_extract_all(sql, '({name})\\\\s*{op}\\\\s*+(?!{name}|=)', 1)")
+    sides = F.transform(join, lambda j: F.array_join(F.array_sort(F.transform(F.split(F.lower(j), "="), lambda x: F.trim(x))), "="))
+    return texts.select("query_id", F.array_sort(F.array_distinct(sides)).alias("joins"), F.array_sort(F.array_distinct(column)).alias("filter_columns"))
+
+
 def sided(join):
     """A join condition with its two sides in order, as `a=b`."""
     parts = F.transform(F.split(F.lower(join), "="), lambda x: F.trim(x))
@@ -215,6 +227,11 @@ def _templates(spark: SparkSession) -> DataFrame:
     return parsed(spark, [(i, WORKLOAD[t]) for i, t in enumerate(TEMPLATES)])
 
 
+def _pattern_parts(spark: SparkSession) -> DataFrame:
+    p = pattern_parts(spark.createDataFrame(list(enumerate(WORKLOAD)), "query_id long, sql string"))
+    return p.select("query_id", F.array_join("joins", "&").alias("joins"), F.array_join("filter_columns", ",").alias("filter_columns"))
+
+
 QUERIES = {
     "workload_filter_columns": lambda s, d: filter_columns(workload(s)),
     "workload_alias_map": lambda s, d: alias_map(workload(s)),
@@ -223,6 +240,7 @@ QUERIES = {
     "workload_join_conditions": lambda s, d: join_conditions(workload(s)),
     "workload_join_combinations": lambda s, d: join_combinations(workload(s)),
     "template_match": lambda s, d: template_match(workload(s), _templates(s)),
+    "workload_pattern_parts": lambda s, d: _pattern_parts(s),
     "join_equivalence_classes": lambda s, d: equivalence_classes(_edges(s)),
 }
 
@@ -258,6 +276,7 @@ ORACLE_SQL = {
     "workload_filter_histogram": f"SELECT CAST(len(cols) AS BIGINT) AS n_filters, COUNT(*) AS n_queries FROM ({_W}) GROUP BY 1",
     "workload_join_conditions": f"SELECT DISTINCT UNNEST({_SIDED}) AS condition FROM ({_W})",
     "workload_join_combinations": f"SELECT array_to_string(list_sort({_SIDED}), '&') AS combination, COUNT(*) AS n_queries FROM ({_W}) GROUP BY 1",
+    "workload_pattern_parts": f"SELECT query_id, array_to_string(list_sort({_SIDED}), '&') AS joins, array_to_string(cols, ',') AS filter_columns FROM ({_W})",
     "template_match": f"SELECT q.query_id, MIN(t.query_id) AS template_id, ARG_MIN(q.cols = t.cols, t.query_id) AS same_filters FROM ({_W}) q JOIN ({_T}) t ON q.aliases = t.aliases AND q.sel = t.sel AND q.joins = t.joins GROUP BY q.query_id",
     "join_equivalence_classes": f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_EDGES}) UNION SELECT b, a FROM ({_EDGES})), reach(col, other) AS (SELECT a, a FROM e UNION SELECT r.col, e.b FROM reach r JOIN e ON r.other = e.a)
         SELECT col AS "column", MIN(other) AS class FROM reach GROUP BY col""",

@@ -48,13 +48,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes with `clean`."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str = "zstd") -> DataFrame:
     """`df` written to the shared folder and read back: cuts lineage, and later stages survive a lost executor."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
