@@ -18,6 +18,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, documents
 
 #: Entries of the tables of words and of pieces that a worker remembers; a full table starts anew.
-TABLE, PIECES = 500_000, 100_000
+TABLE, PIECES = 800_000, 100_000
 #: The split that byte_bpe_50k.json's byte-level pre-tokenizer makes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that stand after a word, each a piece of its own there; runs of newlines.
+MARKS = ".,;:!?"
+NEWLINES = re.compile(r"\n+")
 #: Runs that a split piece may consist of, by the piece's last character.
 RUNS = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "S": regex.compile(r"\s+"), "O": regex.compile(r"[^\s\p{L}\p{N}]+")}
 #: Characters of an open piece beyond which it is streamed.
@@ -250,28 +254,72 @@ class Decoder:
 class Words:
     """Whole texts by their words, with a bounded table of what words gave.
 
-    A space after anything, before anything but white space, begins a split piece whatever stands around it, so the words
-    between single spaces are encoded on their own: `resolve` gives their ids' bytes, each with the space before it. A
-    text with other white space at a word's start, a special token or a very long word goes to `whole`."""
+    A word is what stands between single spaces and before runs of newlines; a run of newlines goes with the word after it.
+    The split begins a piece at a space before anything but white space, and at a newline after anything but white space, so
+    words are encoded on their own: `resolve` gives the ids' bytes of texts. Texts with other white space at a word's edge,
+    with special tokens or with a very long word go to `whole`."""
 
     def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], specials: list[str]):
         self.resolve, self.whole, self.specials = resolve, whole, specials
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, resolve(list(MARKS))))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        missing = set(rest).difference(self.known)
-        if not first or len(first) > PIECE or any(not x or len(x) > PIECE or x[0].isspace() for x in missing) or any(s in text for s in self.specials):
-            return self.whole(text)
-        if len(self.known) + len(missing) > TABLE:
-            self.known.clear()
-            missing = set(rest)
-        new = list(missing)
-        head, *found = self.resolve([first, *[" " + x for x in new]])
-        self.known.update(zip(new, found))
-        return head + b"".join(map(self.known.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids (null: none). All texts' words are looked up first; what is missing is resolved at once."""
+        known, rows, missing, firsts = self.known, [], set(), set()
+        for text in texts:
+            if not text:
+                rows.append(None)
+                continue
+            first, *rest = (NEWLINES.sub(" \\g<0>", text) if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+            found = list(map(known.get, rest))
+            holes, at = [], -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    holes.append((at, rest[at]))
+            except ValueError:  # no further hole
+                missing.update([x for _, x in holes])
+            firsts.add(first)
+            rows.append((first, found, holes))
+        odd = {x for x in missing if not self._alone(x)}
+        odd_firsts = {x for x in firsts if not x or len(x) > PIECE or x[0].isspace() or x[-1].isspace()}
+        if len(known) + 2 * len(missing) > TABLE:
+            known.clear()
+        self._learn(list(missing - odd))
+        plain = sorted(firsts - odd_firsts)
+        heads = dict(zip(plain, self.resolve([" ", *plain])[1:]))
+        out = []
+        for text, row in zip(texts, rows):
+            if row is None:
+                out.append(b"")
+                continue
+            first, found, holes = row
+            if first in odd_firsts or odd and any(x in odd for _, x in holes) or any(s in text for s in self.specials):
+                out.append(self.whole(text))
+                continue
+            for k, x in holes:
+                found[k] = known[x]
+            out.append(heads[first] + b"".join(found))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter words that stand after a space or newline."""
+        known, marks = self.known, self.marks
+        bare = {x: x[:-1] for x in words if x[-1] in marks and len(x) > 1 and x[:-1].isalpha() and max(x) < "\u0250"}  # letters and one mark are two pieces
+        new = list((set(words).difference(bare) | set(bare.values())).difference(known))
+        if new:
+            known.update(zip(new, self.resolve([" ", *[x if x[0] == "\n" else " " + x for x in new]])[1:]))
+        for x, w in bare.items():
+            known[x] = known[w] + marks[x[-1]]
+
+    @staticmethod
+    def _alone(x: str) -> bool:
+        """Whether a word's pieces are the same in any text."""
+        return 0 < len(x) <= PIECE and (x[0] == "\n" or not x[0].isspace()) and (not x[-1].isspace() or not x.strip("\n"))
 
 
 class Coder:
@@ -343,8 +391,8 @@ def encoded(docs: DataFrame, vocab: Broadcast, ids: bool = False) -> DataFrame:
         code = coder(vocab.value)
         for batch in it:
             rows: list[tuple] = []
-            for x in batch.column(1):
-                got = code.encode(x.as_py() or "")
+            for raw in code.words.encode_all(batch.column(1).to_pylist()):
+                got = np.frombuffer(raw, code.dtype)
                 rows.append((len(got), hashlib.sha256(code.joined(got).encode()).hexdigest(), _round_trip(code.merges, got), got.astype("<i4") if ids else None))
             n, a, b, c = zip(*rows) if rows else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]

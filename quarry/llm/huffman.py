@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import vocabulary
-from quarry.llm.common import arrow_map, documents
+from quarry.llm.common import arrow_map, bounded, documents
 from quarry.llm.library import library
 from quarry.session import scratch_dir, written
 
-END, STRIDE, BLOCK_TOKENS, MAX_BITS = 2, 256, 1 << 16, 16
+END, STRIDE, BLOCK_TOKENS, MAX_BITS, COUNTS = 2, 256, 1 << 16, 16, -1
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -136,37 +136,50 @@ def _id_batches(it: Iterator[pa.RecordBatch], vocab: Broadcast, end: int) -> Ite
     from pyspark import TaskContext
 
     encoder, part, seq = library(vocab.value), TaskContext.get().partitionId(), 0
-    tail = np.array([end], encoder.dtype).tobytes()
+    tail, total = np.array([end], encoder.dtype).tobytes(), np.zeros(max(encoder.size, end + 1), np.int64)
+    names = ["part", "seq", "doc_id", "ids"]
     for batch in it:
-        ids = [encoder.encode(x.as_py()).tobytes() + tail for x in batch.column(1)]
+        ids = [x + tail for x in encoder.words.encode_all(batch.column(1).to_pylist())]
+        for lo in range(0, len(ids), 100):
+            total += np.bincount(np.frombuffer(b"".join(ids[lo : lo + 100]), encoder.dtype), minlength=len(total))
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array(ids, pa.binary())], names)
         seq += n
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([COUNTS], pa.int64()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
 
 def token_ids(docs: DataFrame, vocab: Broadcast, end: int = END) -> DataFrame:
-    """(part, seq, doc_id, ids): little-endian ids with the end id; part and seq count up with doc_id."""
+    """(part, seq, doc_id, ids): little-endian ids with the end id; part and seq count up with doc_id. A row of seq COUNTS ends each part: how often each id stands in it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return arrow_map(ranged, lambda it: _id_batches(it, vocab, end), "part int, seq long, doc_id long, ids binary")
+    # ranges from the ids alone, so that no text is read to find them
+    at = rows.agg(F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], 100 * width).alias("q")).first()["q"]
+    shared = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(at or [], np.int64))[: width - 1])
 
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        value = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(shared.value, value, "left").astype(np.int32))
 
-def id_counts(ids: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """How often each id stands in all documents: counted in each task, summed in Spark; a row an id, at most."""
+    bounded(docs.sparkSession)
+    ranged = rows.withColumn("part", part("doc_id")).repartitionById(width, "part").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return arrow_map(ranged.select("doc_id", "text"), lambda it: _id_batches(it, vocab, end), "part int, seq long, doc_id long, ids binary")
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each id stands in all documents: the parts' counts summed in Spark; a row an id, at most."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in it:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype), minlength=size) if len(x.as_py()) > size else 0
-            small = b"".join(y for x in batch.column(0) if len(y := x.as_py()) <= size)
-            total += np.bincount(np.frombuffer(small, dtype), minlength=size)
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["symbol", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in arrow_map(ids.select("ids"), batches, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    parts = ids.where(F.col("seq") == COUNTS).select("ids")
+    for r in arrow_map(parts, batches, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         out[r["symbol"]] = r["n"]
     return out
 
@@ -206,7 +219,7 @@ def encode_files(ids: DataFrame, lengths: np.ndarray, dtype: str, path: str) ->
         if held:
             yield flush()
 
-    arrow_map(ids.select("part", "seq", "doc_id", "ids"), batches, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    arrow_map(ids.where(F.col("seq") != COUNTS).select("part", "seq", "doc_id", "ids"), batches, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def decode_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -252,9 +265,9 @@ def decode_files(spark: SparkSession, path: str, keep_ids: bool = False) -> Data
 
 def write_files(docs: DataFrame, path: str, vocab: Broadcast, end: int = END, max_bits: int = MAX_BITS) -> None:
     """Encode every row of `docs` (doc_id, text) into a file set under `path`."""
-    ids = written(token_ids(docs, vocab, end), "huffman-ids")
+    ids = written(token_ids(docs, vocab, end), "huffman-ids", compression="snappy")
     known = library(vocab.value)
-    lengths = code_lengths(id_counts(ids, known.dtype, max(known.size, end + 1)), max_bits)
+    lengths = code_lengths(id_counts(ids, max(known.size, end + 1)), max_bits)
     encode_files(ids, lengths, known.dtype, path)
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from quarry.llm.bpe import Words, byte_of_char
 
 
+#: Words encoded as one text.
+TOGETHER = 2000
+
+
 class Library:
     """The library's encoder of one tokenizer file; ids as an array. Words between single spaces go to it as a batch."""
 
@@ -22,11 +29,46 @@ class Library:
         size = self.tokenizer.get_vocab_size()
         self.size = size
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.lengths = self.byte_lengths()
+        # the same model for pieces that are known already: bytes in the byte-level alphabet, a newline between pieces
+        model = json.loads(content)["model"]
+        self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]))
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        chars = {b: c for c, b in byte_of_char().items()}
+        self.alphabet = "".join("\n" if b == 10 else chars[b] for b in range(256))
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self._words, self._whole, specials)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The first word and those that begin with a space or newline are encoded as one text; where each ends follows from its ids' bytes.
+
+        A space and Latin letters are one piece, so the model gets them without the search for pieces."""
+        out: list[bytes] = [b""] * len(words)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            if w[0] == " " and w[1:].isalpha() and max(w) < "\u0250":
+                kinds[0].append(k)
+            else:
+                kinds[1 if (not k or w[0] in " \n") and not w.isspace() else 2].append(k)
+        code, width = ("H", 2) if self.dtype == "<u2" else ("I", 4)
+        if kinds[2]:
+            for k, x in zip(kinds[2], self.tokenizer.encode_batch_fast([words[k] for k in kinds[2]], add_special_tokens=False)):
+                out[k] = array(code, x.ids).tobytes()
+        for kind, places in enumerate(kinds[:2]):
+            for lo in range(0, len(places), TOGETHER):
+                some = [words[k] for k in places[lo : lo + TOGETHER]]
+                if kind:
+                    found = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+                else:
+                    found = self.letters.encode_batch_fast([codecs.charmap_decode("\n".join(some).encode(), "strict", self.alphabet)[0]], add_special_tokens=False)[0]
+                raw = array(code, found.ids)
+                ends = np.cumsum(self.lengths[np.frombuffer(raw, self.dtype)])
+                cuts = (width * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1)).tolist()
+                data, at = raw.tobytes(), 0
+                for k, cut in zip(places[lo : lo + TOGETHER], cuts):
+                    out[k] = data[at:cut]
+                    at = cut
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

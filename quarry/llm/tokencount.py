@@ -51,17 +51,17 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray) -> tuple[
 
 def _batches(it: Iterator[pa.RecordBatch], vocab: Broadcast) -> Iterator[pa.RecordBatch]:
     encoder = library(vocab.value)
-    sizes = encoder.byte_lengths()
+    sizes = encoder.lengths
     for batch in it:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
+        texts = batch.column(1).to_pylist()
+        for doc, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.words.encode_all(texts)):
+            text, ids = text or "", np.frombuffer(ids, encoder.dtype)
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             after = np.flatnonzero(raw == 10) + 1  # bytes at which a line may begin
             after = after[after < len(raw)]
             char = np.cumsum((raw & 0xC0) != 0x80) - 1
             starts = np.concatenate(([0], char[after])).astype(np.int64)
-            ids = encoder.encode(text)
             if len(ids):
                 tokens, crossing = attribute(*spans(raw, sizes[ids]), starts)
             else:
