@@ -23,6 +23,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from quarry.llm.common import arrow_map, documents
 
 #: Entries of the tables of words and of pieces that a worker remembers; a full table starts anew.
 TABLE, PIECES = 800_000, 100_000
+#: Texts whose words are looked up together.
+AT_ONCE = 16
 #: The split that byte_bpe_50k.json's byte-level pre-tokenizer makes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Marks that stand after a word, each a piece of its own there; runs of newlines.
@@ -268,46 +271,40 @@ class Words:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids (null: none). All texts' words are looked up first; what is missing is resolved at once."""
-        known, rows, missing, firsts = self.known, [], set(), set()
-        for text in texts:
-            if not text:
-                rows.append(None)
-                continue
-            first, *rest = (NEWLINES.sub(" \\g<0>", text) if "\n\n" in text else text.replace("\n", " \n")).split(" ")
-            found = list(map(known.get, rest))
-            holes, at = [], -1
-            try:
-                while True:
-                    at = found.index(None, at + 1)
-                    holes.append((at, rest[at]))
-            except ValueError:  # no further hole
-                missing.update([x for _, x in holes])
-            firsts.add(first)
-            rows.append((first, found, holes))
-        odd = {x for x in missing if not self._alone(x)}
+        """Each text's ids (null: none), some texts at a time: few enough for their words to stay in the CPU's cache."""
+        return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode_some(texts[lo : lo + AT_ONCE])]
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        """The distinct words of the texts are looked up once, and what is missing is resolved at once."""
+        rows: list[list[str]] = [(NEWLINES.sub(" \\g<0>", x) if "\n\n" in x else x.replace("\n", " \n")).split(" ") if x else [""] for x in texts]
+        firsts = [row[0] for row in rows]
+        for row in rows:
+            row[0] = "\n"  # a first word stands after no space: looked up apart
+        words = dict.fromkeys(chain.from_iterable(rows))
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        words = dict(zip(words, found))
+        odd = {w for w in missing if not self._alone(w)}
         odd_firsts = {x for x in firsts if not x or len(x) > PIECE or x[0].isspace() or x[-1].isspace()}
-        if len(known) + 2 * len(missing) > TABLE:
-            known.clear()
-        self._learn(list(missing - odd))
-        plain = sorted(firsts - odd_firsts)
+        if len(self.known) + 2 * len(missing) > TABLE:
+            self.known.clear()
+        missing = [w for w in missing if w not in odd]
+        words.update(zip(missing, self._learn(missing)))
+        plain = sorted(set(firsts) - odd_firsts)
         heads = dict(zip(plain, self.resolve([" ", *plain])[1:]))
-        out = []
-        for text, row in zip(texts, rows):
-            if row is None:
+        get, out = words.__getitem__, []
+        for text, first, row in zip(texts, firsts, rows):
+            if not text:
                 out.append(b"")
-                continue
-            first, found, holes = row
-            if first in odd_firsts or odd and any(x in odd for _, x in holes) or any(s in text for s in self.specials):
+            elif first in odd_firsts or odd and not odd.isdisjoint(row) or any(s in text for s in self.specials):
                 out.append(self.whole(text))
-                continue
-            for k, x in holes:
-                found[k] = known[x]
-            out.append(heads[first] + b"".join(found))
+            else:
+                del row[0]
+                out.append(heads[first] + b"".join(map(get, row)))
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Enter words that stand after a space or newline."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Enter words that stand after a space or newline; their ids."""
         known, marks = self.known, self.marks
         bare = {x: x[:-1] for x in words if x[-1] in marks and len(x) > 1 and x[:-1].isalpha() and max(x) < "\u0250"}  # letters and one mark are two pieces
         new = list((set(words).difference(bare) | set(bare.values())).difference(known))
@@ -315,6 +312,7 @@ class Words:
             known.update(zip(new, self.resolve([" ", *[x if x[0] == "\n" else " " + x for x in new]])[1:]))
         for x, w in bare.items():
             known[x] = known[w] + marks[x[-1]]
+        return list(map(known.__getitem__, words))
 
     @staticmethod
     def _alone(x: str) -> bool:

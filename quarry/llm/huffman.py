@@ -81,15 +81,15 @@ class Encoder(NamedTuple):
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Packed bits of the ids and the bit offset of every STRIDE-th."""
-        size = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(size)
+        size = self.lengths[ids]
+        ends = np.cumsum(size, dtype=np.int64)
         at = ends - size
         total = int(ends[-1]) if len(ends) else 0
         low = (at & 7).astype(np.uint32)
-        value = self.codes[ids] << (np.uint32(32) - size.astype(np.uint32) - low)  # a code of up to 24 bits within 32 of its byte
+        value = self.codes[ids] << (np.uint32(32) - size - low)  # a code of up to 24 bits within 32 of its byte
         byte, n = at >> 3, (total + 7) // 8
         out = np.zeros(n + 4, np.float64)
-        for k in range(4):
+        for k in range((int(size.max(initial=1)) + 14) // 8):
             out[k:] += np.bincount(byte, ((value >> np.uint32(24 - 8 * k)) & np.uint32(255)).astype(np.float64), n + 4)[: n + 4 - k]
         return out[:n].astype(np.uint8).tobytes(), at[::STRIDE]
 
@@ -99,14 +99,12 @@ class Decoder:
 
     def __init__(self, lengths: np.ndarray):
         self.bits = max(1, int(lengths.max(initial=0)))
-        self.symbol = np.zeros(1 << self.bits, np.uint32)
-        self.length = np.ones(1 << self.bits, np.int64)
+        self.entry = np.ones(1 << self.bits, np.uint32)  # symbol and length of the code a bit pattern begins with
         codes = canonical(lengths)
         for s in np.flatnonzero(lengths).tolist():
             n = int(lengths[s])
             lo = int(codes[s]) << (self.bits - n)
-            self.symbol[lo : lo + (1 << (self.bits - n))] = s
-            self.length[lo : lo + (1 << (self.bits - n))] = n
+            self.entry[lo : lo + (1 << (self.bits - n))] = s << 6 | n
 
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
         """The ids of each block: every checkpoint of every block is a lane, and all lanes take a step at once."""
@@ -117,14 +115,15 @@ class Decoder:
         base = np.cumsum([0] + [len(p) for p in payloads])[:-1]
         at = np.concatenate([8 * b + c for b, c in zip(base, checkpoints)])
         left = np.concatenate([np.minimum(STRIDE, n - STRIDE * np.arange(len(c))) for n, c in zip(sizes, checkpoints)])
-        out = np.zeros((len(at), STRIDE), np.uint32)
+        out = np.zeros((STRIDE, len(at)), np.uint32)
         shift, mask = np.uint32(32 - self.bits), np.uint32((1 << self.bits) - 1)
         for step in range(int(left.max(initial=0))):
             lane = np.flatnonzero(left > step) if step >= left.min() else slice(None)
             pos = at[lane]
-            peek = (window[pos >> 3] >> (shift - (pos & 7).astype(np.uint32))) & mask
-            out[lane, step] = self.symbol[peek]
-            at[lane] = pos + self.length[peek]
+            entry = self.entry[(window[pos >> 3] >> (shift - (pos & 7).astype(np.uint32))) & mask]
+            out[step, lane] = entry >> np.uint32(6)
+            at[lane] = pos + (entry & np.uint32(63))
+        out = np.ascontiguousarray(out.T)
         found, lane = [], 0
         for n, c in zip(sizes, checkpoints):
             found.append(out[lane : lane + len(c)].reshape(-1)[:n])
