@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.scalars import epoch
 from quarry.session import table
 
 #: The driver's relational tables with their columns: name and kind (i integral, d fractional, s text, t timestamp).
@@ -97,19 +98,16 @@ def domain_string_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(_small(counts), ["table", "column"], "left_semi").select("table", "column", "value")
 
 
-def top_values(counts: DataFrame, columns: list[tuple[str, str]], most: int = MOST) -> DataFrame:
-    """The most frequent values of each column, the smaller value first among equals: a distributed top-k a column."""
-    order = (F.desc("n"), F.asc("value"))
-    return _union([counts.where((F.col("table") == t) & (F.col("column") == c)).orderBy(*order).limit(most) for t, c in columns])
+def top_values(df: DataFrame, name: str, column: str, most: int = MOST) -> DataFrame:
+    """(table, column, value, n) of a column's most frequent values, the smaller value first among equals: reads that column
+    only, counts map-side first, and takes the top by a distributed top-k."""
+    counts = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc("value")).limit(most).select(F.lit(name).alias("table"), F.lit(column).alias("column"), "value", "n")
 
 
 def domain_top_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent values of every text column."""
-    parts = []
-    for t, columns in _strings().items():
-        counts = value_counts(table(spark, sf_dir, t), t)
-        parts.append(top_values(counts, [(t, c) for c in columns]))
-    return _union(parts)
+    return _union([top_values(table(spark, sf_dir, t), t, c) for t, columns in _strings().items() for c in columns])
 
 
 def column_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +120,6 @@ def column_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.join(numbers.unionByName(values), "table").drop("table")
 
 
-def epoch(ts: Column) -> Column:
-    """A timestamp (with or without zone, the session's zone being UTC) as whole epoch seconds, fractions cut off."""
-    return F.unix_timestamp(ts).cast("long")
-
-
 def timestamp_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).where(F.col("kind") == "timestamp").select("table", "column")
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import sided
+
 #: A workload over the driver's tables: two to five relations, aliases, self joins, every predicate form.
 WORKLOAD: tuple[str, ...] = (
     "SELECT COUNT(*) FROM customer AS c, orders AS o WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 100",
@@ -145,14 +147,7 @@ def pattern_parts(texts: DataFrame) -> DataFrame:
     name, op = r"[A-Za-z_]\\w*\\.[A-Za-z_]\\w*", "(?i:!=|<>|>=|<=|=|>|<|LIKE|IN|BETWEEN|IS|NOT)"
     join = F.expr(f"regexp_extract_all(sql, '({name}\\\\s*=\\\\s*{name})', 1)")
     column = F.expr(f"regexp_extract_all(sql, '({name})\\\\s*{op}\\\\s*+(?!{name}|=)', 1)")
-    sides = F.transform(join, lambda j: F.array_join(F.array_sort(F.transform(F.split(F.lower(j), "="), lambda x: F.trim(x))), "="))
-    return texts.select("query_id", F.array_sort(F.array_distinct(sides)).alias("joins"), F.array_sort(F.array_distinct(column)).alias("filter_columns"))
-
-
-def sided(join):
-    """A join condition with its two sides in order, as `a=b`."""
-    parts = F.transform(F.split(F.lower(join), "="), lambda x: F.trim(x))
-    return F.array_join(F.array_sort(parts), "=")
+    return texts.select("query_id", F.array_sort(F.array_distinct(F.transform(join, sided))).alias("joins"), F.array_sort(F.array_distinct(column)).alias("filter_columns"))
 
 
 def filter_columns(df: DataFrame) -> DataFrame:
@@ -178,16 +173,16 @@ def filter_histogram(df: DataFrame) -> DataFrame:
 
 def join_conditions(df: DataFrame) -> DataFrame:
     """Distinct join conditions, sides in order."""
-    return df.select(F.explode("joins").alias("j")).select(sided("j").alias("condition")).distinct()
+    return df.select(F.explode("joins").alias("j")).select(sided(F.col("j")).alias("condition")).distinct()
 
 
 def join_combinations(df: DataFrame) -> DataFrame:
     """Distinct sets of join conditions of a query, and in how many queries each stands."""
-    return df.groupBy(F.array_join(F.array_sort(F.transform("joins", lambda j: F.array_join(F.array_sort(F.transform(F.split(F.lower(j), "="), lambda x: F.trim(x))), "="))), "&").alias("combination")).agg(F.count("*").alias("n_queries"))
+    return df.groupBy(F.array_join(F.array_sort(F.transform("joins", sided)), "&").alias("combination")).agg(F.count("*").alias("n_queries"))
 
 
 def _key(normalize_sides: bool):
-    join = (lambda j: F.array_join(F.array_sort(F.transform(F.split(j, "="), lambda x: F.trim(x))), "=")) if normalize_sides else (lambda j: j)
+    join = sided if normalize_sides else (lambda j: j)
     aliases = F.array_sort(F.array_distinct(F.transform("tables", lambda t: t["alias"])))
     return aliases.alias("k_tables"), F.col("select").alias("k_select"), F.array_sort(F.array_distinct(F.transform("joins", join))).alias("k_joins")
 

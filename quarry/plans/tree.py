@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import normalized
+
 # The order of the operators is part of the feature's format.
 OPERATORS = (
     "Unknown", "Hash", "Materialize", "Sort", "Aggregate", "Incremental Sort", "Limit", "Seq Scan", "Index Scan",
@@ -85,15 +87,6 @@ def relations_of(nodes: DataFrame) -> list[str]:
     return [r["relation"] for r in nodes.where(F.col("relation").isNotNull()).select("relation").distinct().orderBy("relation").collect()]
 
 
-def normalized(x, lo, hi):
-    """(ln(1 + x) - lo) / (hi - lo); 0 where the bounds are equal. Values beyond the bounds stay beyond 0 and 1."""
-    return F.coalesce(F.try_divide(F.log1p(x) - lo, hi - lo), F.lit(0.0))
-
-
-def denormalized(x, lo, hi):
-    return F.expm1(x * (hi - lo) + lo)
-
-
 def slot(node_type):
     """Place of an operator in the one-hot part; unknown ones share place 0."""
     return F.greatest(F.array_position(F.array(*[F.lit(o) for o in OPERATORS]), node_type).cast("int") - 1, F.lit(0))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import denormalized, normalized
 from quarry.operators.ranking import pairs, rank_correlation, ranking_loss
 from quarry.plans import candidates, ranker, tree
 from quarry.plans import treenet as N
@@ -92,7 +93,7 @@ def test_correlation_of_constant_and_equal(spark):
 
 
 def test_normalised_values_and_inverse(spark):
-    r = spark.range(1).select(tree.normalized(F.lit(5.0), F.lit(1.0), F.lit(1.0)).alias("z"), tree.denormalized(tree.normalized(F.lit(5.0), F.lit(0.0), F.lit(3.0)), F.lit(0.0), F.lit(3.0)).alias("x")).first()
+    r = spark.range(1).select(normalized(F.lit(5.0), F.lit(1.0), F.lit(1.0)).alias("z"), denormalized(normalized(F.lit(5.0), F.lit(0.0), F.lit(3.0)), F.lit(0.0), F.lit(3.0)).alias("x")).first()
     assert r["z"] == 0.0 and abs(r["x"] - 5) < 1e-9
 
 
