@@ -12,7 +12,6 @@ id alone. An empty table gives empty files. Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import vocabulary
 from quarry.llm.common import arrow_map, bounded, documents
 from quarry.llm.library import library
-from quarry.session import scratch_dir, written
+from quarry.session import scratch_path, written
 
 END, STRIDE, BLOCK_TOKENS, MAX_BITS, COUNTS = 2, 256, 1 << 16, 16, -1
 
@@ -272,6 +271,6 @@ def write_files(docs: DataFrame, path: str, vocab: Broadcast, end: int = END, ma
 
 def op5_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Huffman files and read back."""
-    path = f"{scratch_dir(spark)}/huffman-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "huffman")
     write_files(documents(spark, sf_dir), path, vocabulary(spark))
     return decode_files(spark, path)
