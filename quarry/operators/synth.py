@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import profile
 from quarry.operators.workload import TEMPLATES, WORKLOAD, parse
+from quarry.session import ship
 
 Domain = tuple[str, float, float, bool, list[str]]  # kind, least, greatest, integral, values
 OPS, WEIGHTS = ("=", "!=", ">", "<", ">=", "<="), (1, 7, 7, 7, 7, 7)
@@ -120,6 +121,7 @@ def query(spec: Spec, kind: str, number: int, seed: int) -> str:
 
 def pool(spark: SparkSession, spec: Spec, kind: str, n: int, seed: int = 0) -> DataFrame:
     """(query_id, sql) of n queries."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(spec)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

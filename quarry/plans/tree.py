@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import normalized
+from quarry.session import ship
 
 # The order of the operators is part of the feature's format.
 OPERATORS = (
@@ -62,6 +63,8 @@ def flatten(plan_json: str) -> list[tuple]:
 def plan_nodes(plans: DataFrame) -> DataFrame:
     """The nodes of (query_id, cand_id, plan_json)."""
 
+    ship(plans.sparkSession)
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODES.split(", ")]
         for pdf in it:

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ TABLES = (
 )
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def build(master: str = "local[*]", app: str = "quarry", **conf: str) -> SparkSession:
@@ -29,8 +32,22 @@ def build(master: str = "local[*]", app: str = "quarry", **conf: str) -> SparkSe
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python may not have it on its path."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. Only Spark's reader touches the path, so any store Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
