@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import table, written
+from quarry.session import ship, table, written
 
 #: Rows of an Arrow batch sent to Python: with texts of up to a few hundred KB a batch stays within tens of MB.
 BATCH_ROWS = 1000
@@ -19,7 +19,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bound the Arrow batches of Python functions planned from now on."""
+    """Bound the Arrow batches of Python functions planned from now on; executors get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
