@@ -292,7 +292,8 @@ def learn(texts: list[str], toxic: np.ndarray, back: np.ndarray) -> Model | None
     """The model of labelled whole texts. back: texts held back for the logistic model, unless FEW are toxic."""
     if toxic.all() or not toxic.any():
         return None
-    sentences = [[[w for t in tokens(s) if (w := letters(t))] for s in SENTENCE.split(x)] for x in texts]
+    one: dict[str, str] = {}  # equal words share one string
+    sentences = [[[one.setdefault(w, w) for t in tokens(s) if (w := letters(t))] for s in SENTENCE.split(x)] for x in texts]
     bags = [set().union(*map(set, s)) if s else set() for s in sentences]
     own = firsts(sentences)  # copies of one text would make all of its words look like witnesses
     sentences, bags = [s for s, o in zip(sentences, own) if o], [b for b, o in zip(bags, own) if o]
