@@ -254,6 +254,11 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+def latin(word: str) -> bool:
+    """Whether a word is Latin letters and nothing else: one split piece, in any version of Unicode."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Words:
     """Whole texts by their words, with a bounded table of what words gave.
 
@@ -306,7 +311,7 @@ class Words:
     def _learn(self, words: list[str]) -> list[bytes]:
         """Enter words that stand after a space or newline; their ids."""
         known, marks = self.known, self.marks
-        bare = {x: x[:-1] for x in words if x[-1] in marks and len(x) > 1 and x[:-1].isalpha() and max(x) < "\u0250"}  # letters and one mark are two pieces
+        bare = {x: x[:-1] for x in words if x[-1] in marks and latin(x[:-1])}  # letters and one mark are two pieces
         new = list((set(words).difference(bare) | set(bare.values())).difference(known))
         if new:
             known.update(zip(new, self.resolve([" ", *[x if x[0] == "\n" else " " + x for x in new]])[1:]))
@@ -317,7 +322,7 @@ class Words:
     @staticmethod
     def _alone(x: str) -> bool:
         """Whether a word's pieces are the same in any text."""
-        return 0 < len(x) <= PIECE and (x[0] == "\n" or not x[0].isspace()) and (not x[-1].isspace() or not x.strip("\n"))
+        return x.isalnum() and len(x) <= PIECE or 0 < len(x) <= PIECE and (x[0] == "\n" or not x[0].isspace()) and (not x[-1].isspace() or not x.strip("\n"))
 
 
 class Coder:

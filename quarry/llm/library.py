@@ -11,8 +11,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quarry.llm.bpe import Words, byte_of_char
-
+from quarry.llm.bpe import Words, byte_of_char, latin
 
 #: Words encoded as one text.
 TOGETHER = 2000
@@ -44,32 +43,35 @@ class Library:
 
         A space and Latin letters are one piece, so the model gets them without the search for pieces."""
         out: list[bytes] = [b""] * len(words)
-        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for k, w in enumerate(words):
-            if w[0] == " " and w[1:].isalpha() and max(w) < "\u0250":
-                kinds[0].append(k)
-            else:
-                kinds[1 if (not k or w[0] in " \n") and not w.isspace() else 2].append(k)
-        code, width = ("H", 2) if self.dtype == "<u2" else ("I", 4)
-        if kinds[2]:
-            for k, x in zip(kinds[2], self.tokenizer.encode_batch_fast([words[k] for k in kinds[2]], add_special_tokens=False)):
+        letters = [k for k, w in enumerate(words) if w[0] == " " and latin(w[1:])]
+        done = set(letters)
+        rest = [k for k in range(len(words)) if k not in done]
+        joined = [k for k in rest if (not k or words[k][0] in " \n") and not words[k].isspace()]
+        done.update(joined)
+        single = [k for k in rest if k not in done]
+        code = "H" if self.dtype == "<u2" else "I"
+        if single:
+            for k, x in zip(single, self.tokenizer.encode_batch_fast([words[k] for k in single], add_special_tokens=False)):
                 out[k] = array(code, x.ids).tobytes()
-        for kind, places in enumerate(kinds[:2]):
-            for lo in range(0, len(places), TOGETHER):
-                some = [words[k] for k in places[lo : lo + TOGETHER]]
-                if kind:
-                    found = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
-                else:
-                    found = self.letters.encode_batch_fast([codecs.charmap_decode("\n".join(some).encode(), "strict", self.alphabet)[0]], add_special_tokens=False)[0]
-                raw = array(code, found.ids)
-                ends = np.cumsum(self.lengths[np.frombuffer(raw, self.dtype)])
-                cuts = (width * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1)).tolist()
-                data, at = raw.tobytes(), 0
-                for k, cut in zip(places[lo : lo + TOGETHER], cuts):
-                    out[k] = data[at:cut]
-                    at = cut
+        for lo in range(0, len(joined), TOGETHER):
+            some = [words[k] for k in joined[lo : lo + TOGETHER]]
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            for k, x in zip(joined[lo : lo + TOGETHER], self._cut(array(code, ids), np.cumsum([len(w.encode()) for w in some]))):
+                out[k] = x
+        for lo in range(0, len(letters), TOGETHER):
+            raw = "\n".join([words[k] for k in letters[lo : lo + TOGETHER]]).encode()
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), len(raw))
+            ids = self.letters.encode_batch_fast([codecs.charmap_decode(raw, "strict", self.alphabet)[0]], add_special_tokens=False)[0].ids
+            for k, x in zip(letters[lo : lo + TOGETHER], self._cut(array(code, ids), ends - np.arange(len(ends)))):
+                out[k] = x
         return out
 
+    def _cut(self, ids: array, ends: np.ndarray) -> list[bytes]:
+        """The ids' bytes of each word; ends: where the words end in the bytes that the ids stand for."""
+        at = np.searchsorted(np.cumsum(self.lengths[np.frombuffer(ids, self.dtype)]), ends) + 1
+        cuts, data = (ids.itemsize * at).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
