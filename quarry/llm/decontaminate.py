@@ -162,6 +162,16 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _near(pair: np.ndarray, start: np.ndarray, seen: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Windows (pair, start) that start within k words of a candidate (seen, at) of their own pair: its region holds all of a match that starts there."""
+    pairs, group = np.unique(seen, return_inverse=True)
+    width = max(int(start.max()), int(at.max())) + 2 * k + 2
+    known = np.sort(group * width + at + k)
+    own = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    value = own * width + start + k
+    return (pairs[own] == pair) & (np.searchsorted(known, value - k, "left") < np.searchsorted(known, value + k, "right"))
+
+
 def distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """Least edit distance of the pattern to a part of the text, and where that part ends first (bit-parallel)."""
     m = len(pattern)
@@ -239,8 +249,7 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
             docs = np.searchsorted(bounds, at, "right") - 1
             for a, m, x in zip(at.tolist(), member.tolist(), docs.tolist()):
                 regions.setdefault((x, m), []).append(a)
-            seen = np.unique(docs * len(sizes) + member)
-            rest = ~np.isin(d * len(sizes) + h, seen)  # windows around parts of an item that is a candidate already are done
+            rest = ~_near(d * len(sizes) + h, s, docs * len(sizes) + member, at, int(n) // EDIT_EACH)
             s, h, d = s[rest], h[rest], d[rest]
     out = []
     for (x, m), at in regions.items():

@@ -278,6 +278,23 @@ def test_decontamination_recall_and_exactness(spark, leaks):
     assert decontaminate.matches(d.limit(0), b).count() == 0 and decontaminate.matches(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_looks_beyond_a_partial_quote():
+    rng = random.Random(5)
+    items = [(i, " ".join(words(30, 7000 + i, 5000))) for i in range(60)]
+    index, texts = decontaminate.build(items), []
+    for i, t in items:
+        part = t.split()
+        edited = list(part)
+        for at in rng.sample(range(30), 6):
+            edited[at] = "zzz"
+        around = [words(40, 8000 + 3 * i + j, 5000) for j in range(3)]
+        texts.append(" ".join([*around[0], *part[:15], *around[1], *edited, *around[2]]))  # half of it, then a copy with 6 edits
+        texts.append(" ".join([*around[0], *edited, *around[1], *part, *around[2]]))  # that copy, then it word for word
+    got = {(x, m): e for x, m, _, _, e in decontaminate.search(texts, index)}
+    assert sum((2 * i, i) in got for i in range(60)) >= 59
+    assert all(got[2 * i + 1, i] == 0 for i in range(60))
+
+
 def test_bit_parallel_distance():
     rng = random.Random(0)
     for _ in range(300):
