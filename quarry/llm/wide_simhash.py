@@ -7,8 +7,9 @@ band's trie, whose node pairs are walked together, adding up differing bits unti
 bits of all words). The bands bring together 0.95 of the pairs of the similarity asked for and more above it; the budget keeps 0.84 of
 those and nearly all above 0.83.
 
-A band's value that more than SPLIT_AT documents share is dealt to chunks first; the chunks' components then meet again through
-their smallest members, so no task holds an unbounded group. Only links of spanning forests leave a task.
+A band's value that more than SPLIT_AT documents share is dealt to chunks first; then every two chunks of it meet, but for those of one
+component by the links of all bands so far, so no task holds an unbounded group and no link is lost. That is linear in a group of
+near copies and quadratic in one of documents that aren't. Only links of spanning forests leave a task.
 
 Inputs: null and empty texts have the fingerprint of no bits and are copies of each other. Documents are told apart by id: rows with the
 same id count as one, with the least fingerprint. Empty tables give empty results; extra columns are ignored.
@@ -29,7 +30,7 @@ from quarry.llm.common import arrow_map, components
 from quarry.llm.simhash import shingle_hashes
 from quarry.session import written
 
-WORDS, BAND_BITS, SPLIT_AT, ROUNDS = 10, 16, 4096, 3
+WORDS, BAND_BITS, SPLIT_AT = 10, 16, 4096
 #: Pairs of documents compared directly at a node pair, and at once.
 DIRECT, AT_ONCE = 4096, 2_000_000
 
@@ -64,10 +65,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], size: int, words: in
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["id", "fp"])
 
 
-def group_links(keys: np.ndarray, cuts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a spanning forest of each group, and each key's component. keys: rows of 64-bit words, sorted within groups; cuts: where groups begin, and the end."""
+def group_links(keys: np.ndarray, cuts: np.ndarray, budget: int, parent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a spanning forest of each group, and each key's component. keys: rows of 64-bit words, sorted within groups; cuts: where groups begin, and the end.
+
+    parent: the first key of each key's component, as far as it is known; links inside of it are left out."""
     n = len(keys)
-    parent, runs = np.arange(n), np.arange(n)
+    parent = np.arange(n) if parent is None else parent
+    runs = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
     out_a, out_b = [], []
 
     def union(a: np.ndarray, b: np.ndarray) -> None:
@@ -138,27 +142,24 @@ def group_links(keys: np.ndarray, cuts: np.ndarray, budget: int) -> tuple[np.nda
     return np.concatenate(out_a), np.concatenate(out_b), parent
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], budget: int, reps: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, id, fp) sorted by grp: links (a, b, null), and with `reps` (a, a, grp) for every component's smallest id."""
+def _link_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, id, fp) or (grp, id, fp, component) sorted by grp: links (a, b), between components only."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         held.clear()
-        group, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+        group, ids, part = (t.column(k).to_numpy() for k in (0, 1, 3 if t.num_columns > 3 else 1))
         keys = np.frombuffer(b"".join(t.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
         order = np.lexsort((ids, *keys.T[::-1], group))
-        group, ids, keys = group[order], ids[order], keys[order]
+        group, ids, keys, part = group[order], ids[order], keys[order], part[order]
         cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(ids)]))
-        a, b, parent = group_links(keys, cuts, budget)
-        x, y, g = ids[a], ids[b], np.zeros(len(a), np.int64)
-        null = np.ones(len(a), bool)
-        if reps:
-            least = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least, parent, ids)
-            root = np.flatnonzero(parent == np.arange(len(ids)))
-            x, y, g, null = np.concatenate([x, least[root]]), np.concatenate([y, least[root]]), np.concatenate([g, group[root]]), np.concatenate([null, np.zeros(len(root), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(g, mask=null)], ["a", "b", "grp"])
+        same = np.lexsort((part, group))  # stable: a component's first key comes first
+        first = np.concatenate(([True], (group[same][1:] != group[same][:-1]) | (part[same][1:] != part[same][:-1])))
+        parent = np.empty(len(ids), np.int64)
+        parent[same] = same[np.flatnonzero(first)][np.cumsum(first) - 1]
+        a, b, _ = group_links(keys, cuts, budget, parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     rows, last = 0, None
     for batch in batches:
@@ -180,10 +181,31 @@ def _link_batches(batches: Iterator[pa.RecordBatch], budget: int, reps: bool) ->
         yield from flush()
 
 
-def _joined(rows: DataFrame, budget: int, reps: bool) -> DataFrame:
+def _joined(rows: DataFrame, budget: int) -> DataFrame:
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("grp", "id", "fp").repartition(width, "grp").sortWithinPartitions("grp")
-    return arrow_map(dealt, partial(_link_batches, budget=budget, reps=reps), "a long, b long, grp long")
+    dealt = rows.select("grp", "id", "fp", *(["component"] if "component" in rows.columns else [])).repartition(width, "grp").sortWithinPartitions("grp")
+    return arrow_map(dealt, partial(_link_batches, budget=budget), "a long, b long")
+
+
+def _chunk_pairs(inside: DataFrame) -> DataFrame:
+    """Rows of hot groups (grp, id, fp, component) once for each two chunks that they are to be compared in; grp: the two chunks.
+
+    A chunk is a part of one component or some whole small ones; two parts of one component don't meet."""
+    half = SPLIT_AT // 2
+    sizes = inside.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    small = F.when(F.col("n") <= half, F.col("n"))
+    groups = sizes.groupBy("grp").agg(F.count("*").alias("parts"), F.ceil(F.coalesce(F.sum(small), F.lit(0)) / half).alias("bins")).where("parts > 1")
+    large = F.col("n") > half
+    sizes = written(sizes.join(groups, "grp").select("grp", "component", "n", "bins"), "wide-parts")
+    rows = inside.join(sizes, ["grp", "component"])
+    place = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / half))).otherwise(F.pmod(F.xxhash64("component"), F.col("bins")))
+    rows = rows.select("grp", "id", "fp", "component", F.when(large, F.col("component")).alias("whole"), place.alias("place"))
+    rows = written(rows.withColumn("chunk", F.xxhash64("grp", F.col("whole").isNull(), F.coalesce("whole", F.lit(0)), "place")), "wide-chunks")
+    chunks = rows.select("grp", "chunk", "whole").distinct()
+    x, y = (chunks.select("grp", F.col("chunk").alias(c), F.col("whole").alias(f"{c}_whole")) for c in "xy")
+    met = x.join(y, "grp").where("x <= y and not coalesce(x_whole = y_whole, false)").select("grp", "x", "y")
+    each = met.select("grp", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
+    return rows.join(each, ["grp", "chunk"]).select(F.xxhash64("grp", "x", "y").alias("grp"), "id", "fp", "component")
 
 
 def links(prints: DataFrame, budget: int, words: int = WORDS) -> DataFrame:
@@ -194,24 +216,15 @@ def links(prints: DataFrame, budget: int, words: int = WORDS) -> DataFrame:
     rows = prints.select(F.explode(F.array(*bands)).alias("grp"), "id", "fp")
     size = rows.groupBy("grp").count().where(F.col("count") > SPLIT_AT)
     hot = written(size.select("grp", F.ceil(F.col("count") / SPLIT_AT).cast("int").alias("chunks")), "wide-hot")
-    out = _joined(rows.join(hot, "grp", "left_anti"), budget, False).select("a", "b")
+    out = _joined(rows.join(hot, "grp", "left_anti"), budget)
     if not hot.limit(1).count():
         return out
     inside = rows.join(F.broadcast(hot), "grp")  # as many groups as all bands' rows / SPLIT_AT
-    for r in range(ROUNDS):
-        last = r == ROUNDS - 1
-        chunk = F.xxhash64("grp", F.pmod(F.xxhash64(F.lit(r), "id"), F.col("chunks"))) if not last else F.col("grp")
-        found = written(_joined(inside.select(chunk.alias("grp"), "id", "fp"), budget, not last), "wide-links")
-        out = out.unionByName(found.where(F.col("grp").isNull()).select("a", "b"))
-        if last:
-            return out
-        # what is left of a hot group: the smallest id of each component of its chunks
-        kept = found.where(F.col("grp").isNotNull()).select(F.col("grp").alias("chunk"), F.col("a").alias("id"))
-        inside = inside.withColumn("chunk", chunk).join(kept, ["chunk", "id"], "left_semi").drop("chunk")
-        inside = written(inside, "wide-left")
-        again = inside.groupBy("grp").agg(F.ceil(F.count("*") / SPLIT_AT).cast("int").alias("chunks"))
-        inside = inside.drop("chunks").join(F.broadcast(again), "grp")
-    return out
+    chunk = F.xxhash64("grp", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    out = written(out.unionByName(_joined(inside.withColumn("grp", chunk), budget)), "wide-links")
+    known = components(out, "wide-known")
+    inside = inside.join(known, "id", "left").select("grp", "id", "fp", F.coalesce("component", "id").alias("component"))
+    return out.unionByName(_joined(_chunk_pairs(written(inside, "wide-inside")), budget))
 
 
 def duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = WORDS) -> DataFrame:

@@ -156,6 +156,27 @@ def test_wide_simhash_deals_hot_groups_to_chunks(spark, monkeypatch):
     assert len({got[i] for i in range(90)}) == 1 and len(set(got.values())) == 11
 
 
+def test_wide_simhash_compares_hot_groups_whole(spark, monkeypatch):
+    monkeypatch.setattr(wide_simhash, "SPLIT_AT", 10)
+    rng, keys, budget = random.Random(3), [], 9
+    for _ in range(6):  # chains whose members share the first band alone, and a group of near copies with two of them
+        key = rng.getrandbits(64)
+        for i in range(60):
+            keys.append(key)
+            for band in range(3):
+                for bit in rng.sample(range(16), 3):
+                    key ^= 1 << 16 * band + bit
+            if i in (20, 40):
+                keys += [key ^ 1 << rng.randrange(16) ^ 1 << rng.randrange(16, 48) for _ in range(25)]
+    keys = sorted(set(keys), key=lambda k: hash((k, 1)))
+    prints = spark.createDataFrame([(i, k.to_bytes(8, "big")) for i, k in enumerate(keys)], "id long, fp binary")
+    met = lambda x, y: (x ^ y).bit_count() <= budget and any((x ^ y) >> 16 * b & 0xFFFF == 0 for b in range(4))
+    want = slow_components(range(len(keys)), lambda i, j: met(keys[i], keys[j]))
+    linked = {(r["a"], r["b"]) for r in wide_simhash.links(prints, budget, 1).collect()}
+    assert all(met(keys[a], keys[b]) for a, b in linked)
+    assert slow_components(range(len(keys)), lambda i, j: (i, j) in linked or (j, i) in linked) == want
+
+
 def test_group_links_match_brute_force():
     rng = np.random.default_rng(0)
     for trial in range(20):
