@@ -156,6 +156,29 @@ def test_wide_simhash_deals_hot_groups_to_chunks(spark, monkeypatch):
     assert len({got[i] for i in range(90)}) == 1 and len(set(got.values())) == 11
 
 
+@pytest.mark.parametrize("split_at", [4096, 4])
+def test_wide_simhash_links_are_of_the_similarity_asked_for(spark, monkeypatch, split_at):
+    monkeypatch.setattr(wide_simhash, "SPLIT_AT", split_at)
+    rows, sets = [], {}
+    for i in range(200):  # families of three whose similarities are from 0.7 to 0.9
+        w = words(300, 40_000 + i, 10_000)
+        for j in range(3):
+            rows.append((3 * i + j, " ".join(w)))
+            sets[3 * i + j] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            for k in range(4 + (i + j) % 7):
+                w[(37 * k + 100 * j + i) % 300] = "other"
+    similar = lambda a, b: a // 3 == b // 3 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = slow_components(list(sets), similar)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.duplicate_groups(df).collect()}
+    pairs = [(3 * i + a, 3 * i + b) for i in range(200) for a, b in ((0, 1), (1, 2))]
+    linked = [p for p in pairs if want[p[0]] == want[p[1]]]
+    assert 40 < len(linked) < 360
+    assert not [p for p in pairs if got[p[0]] == got[p[1]] and p not in linked]
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
+    print("recall", sum(got[a] == got[b] for a, b in linked), len(linked))
+
+
 def test_wide_simhash_compares_hot_groups_whole(spark, monkeypatch):
     monkeypatch.setattr(wide_simhash, "SPLIT_AT", 10)
     rng, keys, budget = random.Random(3), [], 9
