@@ -100,3 +100,22 @@ def test_standardized_constant_dimension(spark):
     u = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 2.0])], "id long, vec array<double>")
     got = vectors.standardized(u, u.limit(0)).collect()
     assert all(r["vec"][1] == 0.0 for r in got)
+
+
+def test_registered_groups_are_of_whole_vectors(spark, sf_dir):
+    import numpy as np
+
+    u, known = vectors._vectors(spark, sf_dir)
+    rows = sorted((r["id"], np.array(r["vec"])) for r in u.collect())
+    ids, v = [i for i, _ in rows], np.stack([x for _, x in rows])
+    pos = (v > 0).astype(int)
+    common = pos @ pos.T
+    union = pos.sum(1)[:, None] + pos.sum(1)[None] - common
+    near = (2 * common >= union) | (union == 0)
+    key = [tuple(x) for x in near]
+    want = {i: ids[key.index(k)] for i, k in zip(ids, key)}
+    assert {r["id"]: r["group_id"] for r in vectors.QUERIES["jaccard_groups_whole"](spark, sf_dir).collect()} == want
+    sizes = sorted(((-list(want.values()).count(g), g) for g in set(want.values())))[:8]
+    assert sorted((-r["size"], r["group_id"]) for r in vectors.QUERIES["largest_groups_whole"](spark, sf_dir).collect()) == sizes
+    got = vectors.QUERIES["coreset_select"](spark, sf_dir).collect()
+    assert {r["group_id"] for r in got} == {g for _, g in sizes} and all(want[r["id"]] == r["group_id"] for r in got)
