@@ -5,8 +5,10 @@ one. `Stream` takes a text in pieces and gives ids as soon as no continuation ca
 the lookahead, whatever the text's or a word's length. `Decoder` turns ids into text piece by piece: bytes that are an
 unfinished character wait for the next id, malformed ones become U+FFFD.
 
-`Coder.encode` runs the same transducer word by word where the ends of words are known to be stable, and remembers what
-words gave in tables of bounded size.
+Every text goes through a `Stream`, PART characters at a time. What is held is cut before the last space or newline that begins
+a piece whatever follows; the pieces before the cut are closed, so their ids are emitted, and a table of bounded size may answer
+for their words (`Closed`). What is left, a word at most, waits for the next part; a word that is longer than the buffer is
+streamed by the lookahead. Digests and decoding take the ids as they come: beside the text itself, memory does not grow with it.
 
 Inputs: null counts as the empty text (no ids). Special tokens of the file that stand in a text become their ids, as the
 tokenizers library does it. Repeated rows are rows of their own; extra columns are ignored.
@@ -21,9 +23,8 @@ import json
 import re
 from array import array
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, documents
 
 #: Entries of the tables of words and of pieces that a worker remembers; a full table starts anew.
-TABLE, PIECES = 800_000, 100_000
-#: Texts whose words are looked up together.
-AT_ONCE = 16
+TABLE, PIECES = 1 << 18, 1 << 16
+#: Characters of a text that are fed at once, and of an open piece beyond which it is streamed.
+PART, PIECE = 1 << 14, 1024
 #: The split that byte_bpe_50k.json's byte-level pre-tokenizer makes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Marks that stand after a word, each a piece of its own there; runs of newlines.
-MARKS = ".,;:!?"
+PATTERN = regex.compile(SPLIT)
 NEWLINES = re.compile(r"\n+")
 #: Runs that a split piece may consist of, by the piece's last character.
 RUNS = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "S": regex.compile(r"\s+"), "O": regex.compile(r"[^\s\p{L}\p{N}]+")}
-#: Characters of an open piece beyond which it is streamed.
-PIECE = 1024
 
 
 @lru_cache(maxsize=1)
@@ -63,6 +61,7 @@ class Merges:
         spec, chars = json.loads(content), byte_of_char()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.widest = max(map(len, self.specials), default=1)
         self.bytes: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.specials.values()]))
         for token, i in vocab.items():
             self.bytes[i] = bytes(chars[c] for c in token)
@@ -168,23 +167,74 @@ class Run:
         return out
 
 
-class Stream:
-    """Ids of a text given in pieces."""
+class Closed:
+    """Ids of closed text: what begins and ends where split pieces do, whatever stands around it. Remembers words.
+
+    A word is what stands after a single space and before the next, or a run of newlines with what follows it; the split begins
+    a piece at either, unless white space stands around it. Text with other white space at a word's edge is split as a whole."""
 
     def __init__(self, merges: Merges):
+        self.merges, self.code = merges, "H" if len(merges.bytes) <= 1 << 16 else "I"
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def split(self, text: str) -> list[int]:
+        """Ids by the split's pieces."""
+        ids: list[int] = []
+        for piece in PATTERN.findall(text):
+            got = self.pieces.get(piece)
+            if got is None:
+                if len(self.pieces) >= PIECES:
+                    self.pieces.clear()
+                got = self.merges.merge(piece.encode())
+                if len(piece) <= PIECE:
+                    self.pieces[piece] = got
+            ids += got
+        return ids
+
+    def ids(self, text: str) -> list[int]:
+        row = (NEWLINES.sub(" \\g<0>", text) if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+        head, words = row[0], row[1:]
+        found = list(map(self.words.get, words))
+        if None in found:
+            new = {w for w, got in zip(words, found) if got is None}
+            if not all(map(self.alone, new)):
+                return self.split(text)
+            if len(self.words) + len(new) > TABLE:
+                self.words.clear()
+                new = set(words)
+            for w in new:
+                self.words[w] = array(self.code, self.split(w if w[0] == "\n" else " " + w)).tobytes()
+            found = map(self.words.__getitem__, words)
+        if head and head[-1].isspace():
+            return self.split(text)
+        return self.split(head) + array(self.code, b"".join(found)).tolist()
+
+    @staticmethod
+    def alone(word: str) -> bool:
+        """Whether a word's pieces are the same in any text."""
+        return word.isalnum() and len(word) <= PIECE or 0 < len(word) <= PIECE and (word[0] == "\n" or not word[0].isspace()) and (not word[-1].isspace() or not word.strip("\n"))
+
+
+class Stream:
+    """Ids of a text given in parts. `closed`: a table to share between streams."""
+
+    def __init__(self, merges: Merges, closed: Closed | None = None):
         self.merges, self.held = merges, ""
-        self.pattern = regex.compile(SPLIT)
-        self.special = regex.compile("|".join(regex.escape(x) for x in sorted(merges.specials, key=len, reverse=True)) or r"(?!)")
+        self.closed = closed or Closed(merges)
         self.run: Run | None = None
         self.kind = ""
 
-    def feed(self, piece: str) -> list[int]:
+    def feed(self, part: str) -> list[int]:
+        """Ids that no continuation can change any more."""
         out: list[int] = []
-        self.held += piece
-        while m := self.special.search(self.held):
-            rest, self.held = self.held[m.end() :], self.held[: m.start()]
+        self.held += part
+        specials = self.merges.specials
+        while specials and (found := [(at, -len(x), x) for x in specials if (at := self.held.find(x)) >= 0]):
+            at, _, token = min(found)
+            rest, self.held = self.held[at + len(token) :], self.held[:at]
             out += self._advance(True)
-            out.append(self.merges.specials[m[0]])
+            out.append(specials[token])
             self.held = rest
         return out + self._advance(False)
 
@@ -193,39 +243,57 @@ class Stream:
 
     def _limit(self) -> int:
         """Where a special token may have begun at the end of what is held."""
-        for k in range(min(len(self.held), max([len(x) for x in self.merges.specials], default=1) - 1), 0, -1):
-            if any(s.startswith(self.held[-k:]) for s in self.merges.specials if len(s) > k):
+        for k in range(min(len(self.held), self.merges.widest - 1), 0, -1):
+            tail = self.held[-k:]
+            if any(len(s) > k and s.startswith(tail) for s in self.merges.specials):
                 return len(self.held) - k
         return len(self.held)
 
+    def _cut(self, limit: int) -> int:
+        """The last place before `limit` where a piece begins whatever follows: a space between two words, or a newline after one. 0: none."""
+        text, end = self.held, limit
+        while (at := max(text.rfind(" ", 0, end), text.rfind("\n", 0, end))) > 0:
+            if not text[at - 1].isspace() and (text[at] == "\n" or at + 1 < limit and not text[at + 1].isspace()):
+                return at
+            end = at
+        return 0
+
     def _advance(self, last: bool) -> list[int]:
         out: list[int] = []
-        text, at = self.held, 0
-        limit = len(text) if last else self._limit()
+        limit = len(self.held) if last else self._limit()
         if self.run is not None:
+            text = self.held
             m = RUNS[self.kind].match(text)
             end = min(m.end() if m else 0, limit)
             closed = last or end < limit
             if self.kind == "S" and end and end < len(text) or self.kind == "S" and not last:
                 end = max(end - 1, 0)  # the last space goes with what follows
             out += self.run.push(text[:end].encode())
-            at = end
+            self.held, limit = text[end:], limit - end
             if not closed:
-                self.held = text[at:]
                 return out
             out += self.run.finish()
             self.run = None
+        if last:
+            out += self.closed.ids(self.held)
+            self.held = ""
+            return out
+        cut = self._cut(limit)
+        if cut:
+            out += self.closed.ids(self.held[:cut])
+            self.held, limit = self.held[cut:], limit - cut
+        if limit <= PIECE:
+            return out
+        text, at = self.held, 0  # no cut in so long a text: by pieces
         while at < len(text):
-            m = self.pattern.match(text, at)
-            end = m.end()
-            if not last:
-                after = RUNS["S"].match(text, at).end() if text[at].isspace() and RUNS["S"].match(text, at) else end
-                if max(end, after) >= limit or (text[at] == "'" and at + 3 > limit):
-                    if limit - at > PIECE:
-                        out += self._open(text, at, limit)
-                        return out
-                    break
-            out += self.merges.merge(m[0].encode())
+            end = PATTERN.match(text, at).end()
+            after = RUNS["S"].match(text, at).end() if text[at].isspace() and RUNS["S"].match(text, at) else end
+            if max(end, after) >= limit or (text[at] == "'" and at + 3 > limit):
+                if limit - at > PIECE:
+                    out += self._open(text, at, limit)
+                    return out
+                break
+            out += self.merges.merge(text[at:end].encode())
             at = end
         self.held = text[at:]
         return out
@@ -247,121 +315,43 @@ class Decoder:
     def __init__(self, merges: Merges):
         self.merges, self.state = merges, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: Iterable[int]) -> str:
         return self.state.decode(b"".join(map(self.merges.bytes.__getitem__, ids)))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
 
 
-def latin(word: str) -> bool:
-    """Whether a word is Latin letters and nothing else: one split piece, in any version of Unicode."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
-
-
-class Words:
-    """Whole texts by their words, with a bounded table of what words gave.
-
-    A word is what stands between single spaces and before runs of newlines; a run of newlines goes with the word after it.
-    The split begins a piece at a space before anything but white space, and at a newline after anything but white space, so
-    words are encoded on their own: `resolve` gives the ids' bytes of texts. Texts with other white space at a word's edge,
-    with special tokens or with a very long word go to `whole`."""
-
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], specials: list[str]):
-        self.resolve, self.whole, self.specials = resolve, whole, specials
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, resolve(list(MARKS))))
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids (null: none), some texts at a time: few enough for their words to stay in the CPU's cache."""
-        return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode_some(texts[lo : lo + AT_ONCE])]
-
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        """The distinct words of the texts are looked up once, and what is missing is resolved at once."""
-        rows: list[list[str]] = [(NEWLINES.sub(" \\g<0>", x) if "\n\n" in x else x.replace("\n", " \n")).split(" ") if x else [""] for x in texts]
-        firsts = [row[0] for row in rows]
-        for row in rows:
-            row[0] = "\n"  # a first word stands after no space: looked up apart
-        words = dict.fromkeys(chain.from_iterable(rows))
-        found = list(map(self.known.get, words))
-        missing = [w for w, ids in zip(words, found) if ids is None]
-        words = dict(zip(words, found))
-        odd = {w for w in missing if not self._alone(w)}
-        odd_firsts = {x for x in firsts if not x or len(x) > PIECE or x[0].isspace() or x[-1].isspace()}
-        if len(self.known) + 2 * len(missing) > TABLE:
-            self.known.clear()
-        missing = [w for w in missing if w not in odd]
-        words.update(zip(missing, self._learn(missing)))
-        plain = sorted(set(firsts) - odd_firsts)
-        heads = dict(zip(plain, self.resolve([" ", *plain])[1:]))
-        get, out = words.__getitem__, []
-        for text, first, row in zip(texts, firsts, rows):
-            if not text:
-                out.append(b"")
-            elif first in odd_firsts or odd and not odd.isdisjoint(row) or any(s in text for s in self.specials):
-                out.append(self.whole(text))
-            else:
-                del row[0]
-                out.append(heads[first] + b"".join(map(get, row)))
-        return out
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Enter words that stand after a space or newline; their ids."""
-        known, marks = self.known, self.marks
-        bare = {x: x[:-1] for x in words if x[-1] in marks and latin(x[:-1])}  # letters and one mark are two pieces
-        new = list((set(words).difference(bare) | set(bare.values())).difference(known))
-        if new:
-            known.update(zip(new, self.resolve([" ", *[x if x[0] == "\n" else " " + x for x in new]])[1:]))
-        for x, w in bare.items():
-            known[x] = known[w] + marks[x[-1]]
-        return list(map(known.__getitem__, words))
-
-    @staticmethod
-    def _alone(x: str) -> bool:
-        """Whether a word's pieces are the same in any text."""
-        return x.isalnum() and len(x) <= PIECE or 0 < len(x) <= PIECE and (x[0] == "\n" or not x[0].isspace()) and (not x[-1].isspace() or not x.strip("\n"))
-
-
 class Coder:
-    """The transducer over whole texts; ids as an array."""
+    """The transducer and the decoder of one tokenizer file, with the tables that its streams share."""
 
     def __init__(self, content: str):
         self.merges = Merges(content)
-        self.dtype = "<u2" if len(self.merges.bytes) <= 1 << 16 else "<u4"
+        self.closed = Closed(self.merges)
         self.decimals = [str(i) for i in range(len(self.merges.bytes))]
-        self.pattern = regex.compile(SPLIT)
-        self.pieces: dict[str, list[int]] = {}
-        self.words = Words(self._words, self._stream, list(self.merges.specials))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        out, pieces = [], self.pieces
-        if len(pieces) >= PIECES:
-            pieces.clear()
-        for word in words:
-            ids: list[int] = []
-            for piece in self.pattern.findall(word):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = self.merges.merge(piece.encode())
-                ids += got
-            out.append(array("H" if self.dtype == "<u2" else "I", ids).tobytes())
-        return out
 
-    def _stream(self, text: str) -> bytes:
-        stream, ids = Stream(self.merges), []
-        for at in range(0, len(text), 4 * PIECE):
-            ids += stream.feed(text[at : at + 4 * PIECE])
-        return np.array(ids + stream.finish(), self.dtype).tobytes()
+    def parts(self, text: str, size: int = PART) -> Iterator[list[int]]:
+        """A text's ids, as they become stable."""
+        stream = Stream(self.merges, self.closed)
+        for at in range(0, len(text), size):
+            yield stream.feed(text[at : at + size])
+        yield stream.finish()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.words.encode(text), self.dtype)
-
-    def joined(self, ids: np.ndarray) -> str:
-        """The ids in decimals, joined by commas."""
-        return ",".join([self.decimals[i] for i in ids.tolist()])
+        return np.array([i for ids in self.parts(text) for i in ids], "<u2" if self.closed.code == "H" else "<u4")
+
+    def digest(self, text: str, kept: list[int] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of them in decimals joined by commas, SHA-256 of the text that they decode to. kept: gets the ids."""
+        decoder, n, one, two = Decoder(self.merges), 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self.parts(text):
+            if ids:
+                one.update(("," * bool(n) + ",".join(map(self.decimals.__getitem__, ids))).encode())
+                two.update(decoder.feed(ids).encode())
+                n += len(ids)
+                if kept is not None:
+                    kept += ids
+        two.update(decoder.finish().encode())
+        return n, one.hexdigest(), two.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -379,14 +369,6 @@ def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _round_trip(merges: Merges, ids: np.ndarray, part: int = 4096) -> str:
-    decoder, digest = Decoder(merges), hashlib.sha256()
-    for at in range(0, len(ids), part):
-        digest.update(decoder.feed(ids[at : at + part].tolist()).encode())
-    digest.update(decoder.finish().encode())
-    return digest.hexdigest()
-
-
 def encoded(docs: DataFrame, vocab: Broadcast, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array]) of every row of `docs` (doc_id, text)."""
 
@@ -394,9 +376,9 @@ def encoded(docs: DataFrame, vocab: Broadcast, ids: bool = False) -> DataFrame:
         code = coder(vocab.value)
         for batch in it:
             rows: list[tuple] = []
-            for raw in code.words.encode_all(batch.column(1).to_pylist()):
-                got = np.frombuffer(raw, code.dtype)
-                rows.append((len(got), hashlib.sha256(code.joined(got).encode()).hexdigest(), _round_trip(code.merges, got), got.astype("<i4") if ids else None))
+            for text in batch.column(1):
+                kept: list[int] | None = [] if ids else None
+                rows.append((*code.digest(text.as_py() or "", kept), np.array(kept, "<i4") if ids else None))
             n, a, b, c = zip(*rows) if rows else ((), (), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -6,15 +6,91 @@ import codecs
 import json
 import os
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quarry.llm.bpe import Words, byte_of_char, latin
+from quarry.llm.bpe import NEWLINES, Closed, byte_of_char
 
 #: Words encoded as one text.
 TOGETHER = 2000
+#: Entries of the table of words that a worker remembers; a full table starts anew.
+TABLE = 800_000
+#: Characters of a word beyond which its text is encoded as a whole.
+PIECE = 1024
+#: Texts whose words are looked up together.
+AT_ONCE = 16
+#: Marks that stand after a word, each a piece of its own there.
+MARKS = ".,;:!?"
+
+
+def latin(word: str) -> bool:
+    """Whether a word is Latin letters and nothing else: one split piece, in any version of Unicode."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+class Words:
+    """Whole texts by their words, with a bounded table of what words gave.
+
+    A word is what stands between single spaces and before runs of newlines; a run of newlines goes with the word after it.
+    The split begins a piece at a space before anything but white space, and at a newline after anything but white space, so
+    words are encoded on their own: `resolve` gives the ids' bytes of texts. Texts with other white space at a word's edge,
+    with special tokens or with a very long word go to `whole`."""
+
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], specials: list[str]):
+        self.resolve, self.whole, self.specials = resolve, whole, specials
+        self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, resolve(list(MARKS))))
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids (null: none), some texts at a time: few enough for their words to stay in the CPU's cache."""
+        return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode_some(texts[lo : lo + AT_ONCE])]
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        """The distinct words of the texts are looked up once, and what is missing is resolved at once."""
+        rows: list[list[str]] = [(NEWLINES.sub(" \\g<0>", x) if "\n\n" in x else x.replace("\n", " \n")).split(" ") if x else [""] for x in texts]
+        firsts = [row[0] for row in rows]
+        for row in rows:
+            row[0] = "\n"  # a first word stands after no space: looked up apart
+        words = dict.fromkeys(chain.from_iterable(rows))
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        words = dict(zip(words, found))
+        odd = {w for w in missing if not Closed.alone(w)}
+        odd_firsts = {x for x in firsts if not x or len(x) > PIECE or x[0].isspace() or x[-1].isspace()}
+        if len(self.known) + 2 * len(missing) > TABLE:
+            self.known.clear()
+        missing = [w for w in missing if w not in odd]
+        words.update(zip(missing, self._learn(missing)))
+        plain = sorted(set(firsts) - odd_firsts)
+        heads = dict(zip(plain, self.resolve([" ", *plain])[1:]))
+        get, out = words.__getitem__, []
+        for text, first, row in zip(texts, firsts, rows):
+            if not text:
+                out.append(b"")
+            elif first in odd_firsts or odd and not odd.isdisjoint(row) or any(s in text for s in self.specials):
+                out.append(self.whole(text))
+            else:
+                del row[0]
+                out.append(heads[first] + b"".join(map(get, row)))
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Enter words that stand after a space or newline; their ids."""
+        known, marks = self.known, self.marks
+        bare = {x: x[:-1] for x in words if x[-1] in marks and latin(x[:-1])}  # letters and one mark are two pieces
+        new = list((set(words).difference(bare) | set(bare.values())).difference(known))
+        if new:
+            known.update(zip(new, self.resolve([" ", *[x if x[0] == "\n" else " " + x for x in new]])[1:]))
+        for x, w in bare.items():
+            known[x] = known[w] + marks[x[-1]]
+        return list(map(known.__getitem__, words))
 
 
 class Library:
