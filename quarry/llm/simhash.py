@@ -7,8 +7,12 @@ up their differing bits and dropping the pair once they exceed the budget. Block
 split again by blocks of their other bits, up to three levels, before they reach a task. A task returns a spanning
 forest of its links, never all pairs of a group.
 
+Links and components are between fingerprints, so rows without an id link others like any row does. Documents meet their component
+by fingerprint; where a third of them share one, such as that of the empty text, Spark splits that join's partition (skewJoin, set
+in the session and on by default).
+
 Inputs: null and empty texts have fingerprint zero, linked like any other. Repeated doc_ids are rows of their own with
-the same id; rows without an id get the component of their fingerprint's other rows, or null. Empty tables give empty results. Columns other than the id and the text are ignored.
+the same id; rows without an id get the smallest id of their component, null if it has none. Empty tables give empty results. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -256,9 +260,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 3, id_col: str
     """(doc_id, fp, component_id) per document; component_id the smallest doc_id reachable over links of <= budget bits."""
     prints = written(fingerprints(docs, size, id_col, text_col), "simhash-fp")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    parts = components(links(distinct.where(F.col("id").isNotNull()), budget), "simhash")
-    known = distinct.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    parts = components(links(distinct.select("fp", F.col("fp").alias("id")), budget), "simhash").withColumnRenamed("id", "fp")
+    known = written(distinct.join(parts, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "simhash-known")
+    least = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    return prints.join(known.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
