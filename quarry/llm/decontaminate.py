@@ -6,8 +6,10 @@ places; a repetition samples some places, and windows that agree with an item on
 many repetitions as reach the target recall at k edits, by the agreement measured on random edits of random items. Windows
 are as long as an item and start wherever a match could: a match with k edits keeps one of k + 1 parts of the item whole, so
 only windows around such a part are embedded. Candidates are verified by exact edit distance (bit-parallel) in their region.
+Windows are made and embedded in slices of at most WINDOWS, so memory does not grow with the places that share a part.
 
-Inputs: null and empty texts match nothing; items of fewer than MIN_WORDS words, empty or null are not searched. Items come from the
+Inputs: null and empty texts match nothing, and items without a word are not searched. Items of fewer than EDIT_EACH words may have
+no edits: they are found word for word. Of places with equally few edits the first is reported. Items come from the
 benchmark in blocks of bounded size, a pass over the documents each. Repeated doc_ids give rows of their own; repeated
 items are searched under each of their ids. Extra columns are ignored.
 """
@@ -27,9 +29,11 @@ from quarry.llm.common import arrow_map, documents
 from quarry.llm.licenses import WORDS
 from quarry.session import table
 
-MIN_WORDS, EDIT_EACH = 5, 5
+MIN_WORDS, EDIT_EACH = 1, 5
 #: Sampled places of a repetition, target recall at the greatest number of edits, and bytes of items searched in one pass.
 SAMPLES, RECALL, BLOCK_BYTES = 3, 0.995, 16_000_000
+#: Windows embedded at once.
+WINDOWS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,13 +98,19 @@ def repetitions(n: int, trials: int = 96, reps: int = 6) -> int:
         row = (row + rng.integers(1 << 41, 1 << 42, n).tolist())[:n]
         b[t] = row
     starts = np.arange(trials) * n
-    p = np.array([(embed(a.ravel(), starts, n, r) == embed(b.ravel(), starts, n, r)) for r in range(reps)]).mean(axis=0)
-    # the mean over items of the chance to miss in R repetitions must stay below 1 - RECALL; unseen agreement counts as half a hit
-    p = np.maximum(p, 0.5 / reps)
-    for r in range(1, 400):
-        if np.mean((1 - p) ** r) <= 1 - RECALL:
-            return r
-    return 400
+    flat_a, flat_b = a.ravel(), b.ravel()
+    p = np.array([(embed(flat_a, starts, n, r) == embed(flat_b, starts, n, r)) for r in range(reps)]).mean(axis=0)
+    late, r = np.flatnonzero(p == 0), reps
+    while len(late):  # pairs that have not agreed yet: on, until they do
+        agreed = embed(flat_a, starts[late], n, r) == embed(flat_b, starts[late], n, r)
+        r += 1
+        p[late[agreed]] = 1 / r
+        late = late[~agreed]
+    # the mean over items of the chance to miss in R repetitions must stay below 1 - RECALL
+    r = 1
+    while np.mean((1 - p) ** r) > 1 - RECALL:
+        r += 1
+    return r
 
 
 class Index(NamedTuple):
@@ -126,12 +136,12 @@ def rolling(flat: np.ndarray, length: int) -> np.ndarray:
     return np.where(full, out | np.uint64(1), np.uint64(0))
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
+def build(rows: list[tuple[int, str]], min_words: int = MIN_WORDS) -> Index:
     vocab: dict[bytes, int] = {}
     items = []
     for item_id, text in rows:
         found = words(text)
-        if len(found) >= MIN_WORDS:
+        if len(found) >= min_words:
             items.append((item_id, [vocab.setdefault(w, len(vocab) + 1) for w in found]))
     seeds: dict[int, list[tuple[int, int, int]]] = {}
     by_n: dict[int, list[int]] = {}
@@ -202,23 +212,46 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     for f, lo in zip(found, bounds):
         flat[lo : lo + len(f)] = f
     sizes = np.array([len(numbers) for _, numbers in index.items], np.int64)
-    starts, hints = [], []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}  # by text and item: edits, first word, words
+    held: list[np.ndarray] = []
+
+    def flush() -> None:
+        code = np.unique(np.concatenate(held))  # a start that several parts give counts once
+        bases, hints = code // len(sizes) - len(flat), code % len(sizes)
+        for lo, hi in _slices(2 * (sizes[hints] // EDIT_EACH) + 1, WINDOWS):
+            _verify(_candidates(flat, bounds, sizes, bases[lo:hi], hints[lo:hi], index), found, bounds, index, best)
+        held.clear()
+
     for length, (hashes, item, offset) in index.seeds.items():
         own = rolling(flat, length)
         at = np.flatnonzero(own)
-        left = np.searchsorted(hashes, own[at], "left")
-        right = np.searchsorted(hashes, own[at], "right")
+        left, right = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
         on = right > left
-        row, seed = _pairs(left[on], right[on])
-        base, it = at[on][row] - offset[seed], item[seed]
-        k = sizes[it] // EDIT_EACH
-        row, start = _pairs(base - k, base + k + 1)
-        starts.append(start)
-        hints.append(it[row])
-    if not starts:
-        return []
-    windows = np.unique(np.stack([np.concatenate(starts), np.concatenate(hints)]), axis=1)
-    start, hint = windows
+        at, left, right = at[on], left[on], right[on]
+        for lo, hi in _slices(right - left, WINDOWS):
+            row, seed = _pairs(left[lo:hi], right[lo:hi])
+            held.append((at[lo:hi][row] - offset[seed] + len(flat)) * len(sizes) + item[seed])  # an item's start by this part, and the item
+            if sum(map(len, held)) > WINDOWS:
+                flush()
+    if held:
+        flush()
+    return [(x, m, first, n, edits) for (x, m), (edits, first, n) in sorted(best.items())]
+
+
+def _slices(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose counts add up to about `most`."""
+    total, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _candidates(flat: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, bases: np.ndarray, hints: np.ndarray, index: Index) -> dict[tuple[int, int], list[int]]:
+    """By (text's place, item's place): starts of windows within the edits of a base that agree with the item in a repetition."""
+    k = sizes[hints] // EDIT_EACH
+    row, start = _pairs(bases - k, bases + k + 1)
+    start, hint = np.unique(np.stack([start, hints[row]]), axis=1)
     ok = start > -int(sizes.max(initial=0))
     start, hint = start[ok], hint[ok]
     doc = np.searchsorted(bounds, np.maximum(start, 0), "right") - 1
@@ -251,23 +284,26 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
                 regions.setdefault((x, m), []).append(a)
             rest = ~_near(d * len(sizes) + h, s, docs * len(sizes) + member, at, int(n) // EDIT_EACH)
             s, h, d = s[rest], h[rest], d[rest]
-    out = []
+    return regions
+
+
+def _verify(regions: dict[tuple[int, int], list[int]], found: list[list[int]], bounds: np.ndarray, index: Index, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Put the best match of each region into `best`, by exact edit distance."""
     for (x, m), at in regions.items():
         pattern = index.items[m][1]
         n = len(pattern)
         k, lo, hi = edits_of(n), int(bounds[x]), int(bounds[x + 1]) - 1
         at.sort()
-        best = None
         a = b = None
         for p in [*at, None]:
             if a is not None and (p is None or p - k > b):
                 text = found[x][a - lo : b - lo]
                 score, end = distance(pattern, text)
-                if score <= k and (best is None or score < best[0]):
+                if score <= k:
                     # the shortest reading of the match's start
                     tail = text[max(0, end - n - k) : end][::-1]
                     _, size = _prefix(pattern[::-1], tail)
-                    best = (score, a - lo + end - size, size)
+                    best[x, m] = min(best.get((x, m), (score + 1, 0, 0)), (score, a - lo + end - size, size))
                 a = None
             if p is None:
                 break
@@ -276,9 +312,6 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
                 a, b = lower, upper
             else:
                 b = max(b, upper)
-        if best is not None:
-            out.append((x, m, best[1], best[2], best[0]))
-    return out
 
 
 def _prefix(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -305,10 +338,10 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """What is searched, a pass over the documents each."""
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> Iterator[Index]:
+    """What is searched, a pass over the documents each; items of fewer than `min_words` words are left out."""
     for block in _blocks(benchmark, block_bytes):
-        index = build(block)
+        index = build(block, min_words)
         if index.items:
             yield index
 
