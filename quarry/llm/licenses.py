@@ -2,8 +2,10 @@
 
 A notice of n characters may differ in n // EDIT_EACH edits, at least one. It is split into one more piece than it may have edits, so
 one piece stands exactly in every match (pigeonhole). An automaton of all pieces finds them in a text's normalised words;
-around each the regex library searches the notice with its bound on errors and reports span and edits. Of overlapping
-matches of different labels the one with the fewest edits for its length stays.
+around each the regex library searches the notice with its bound on errors and reports span and edits: the best match of a
+window first, then of what is left before and after it. Windows of one notice are joined while they are short, so the work grows
+with the number of seeds, not with its square. Of overlapping matches the one with the fewest edits for its length stays,
+among equals the longest, then the first, then the notice that is listed first.
 
 Inputs: a null or empty text has no words, no places, empty labels, null first and last words and score 0. Texts are scanned
 whole, however long. Repeated doc_ids are rows of their own; extra columns are ignored.
@@ -11,6 +13,7 @@ whole, however long. Repeated doc_ids are rows of their own; extra columns are i
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -111,26 +114,32 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES) -> Sc
             notice, k = notices[i][1], edits_of(notices[i][1])
             lo, hi = end + 1 - size - offset - k, end + 1 - size - offset + len(notice) + k
             got = windows.setdefault(i, [])
-            if got and lo <= got[-1][1]:
+            if got and got[-1][0] <= lo <= got[-1][1] and hi - got[-1][0] <= 2 * (len(notice) + 2 * k):
                 got[-1][1] = max(got[-1][1], hi)
             else:
                 got.append([lo, hi])
-    hits: list[tuple[float, int, int, int, int]] = []  # (edits for its length, start, end, notice, edits)
+    hits: set[tuple[float, int, int, int, int]] = set()  # (edits for its length, start, end, notice, edits)
     for i, spans in windows.items():
         for lo, hi in spans:
             lo = joined.rfind(" ", 0, max(0, lo)) + 1
             hi = h if (h := joined.find(" ", min(hi, len(joined)))) >= 0 else len(joined)
-            for m in patterns[i].finditer(joined, lo, hi):
-                edits = sum(m.fuzzy_counts)
-                hits.append((edits / len(notices[i][1]), m.start(), m.end(), i, edits))
+            left = [(lo, hi + 1)]  # in the padded text, from the space before: no letter can be inserted where a search begins
+            while left:
+                lo, hi = left.pop()
+                if m := patterns[i].search(padded, lo, hi):
+                    edits = sum(m.fuzzy_counts)
+                    hits.add((edits / len(notices[i][1]), m.start() - 1, m.end() - 1, i, edits))
+                    left += [(lo, m.start()), (m.end(), hi)]
     found: list[Match] = []
-    taken: dict[str, list[tuple[int, int]]] = {}
+    starts: list[int] = []  # of the spans taken so far, which do not overlap; and their ends
+    ends: list[int] = []
     for cost, start, end, i, edits in sorted(hits, key=lambda h: (h[0], h[1] - h[2], h[1], h[3])):
-        label = notices[i][0]
-        if any(start < e and s < end for spans in taken.values() for s, e in spans):
+        at = bisect_left(starts, end)
+        if at and ends[at - 1] > start:
             continue
-        taken.setdefault(label, []).append((start, end))
-        found.append(Match(label, 0, joined.count(" ", start, end) + 1, start, end, edits, round(1 - cost, 6)))
+        starts.insert(at, start)
+        ends.insert(at, end)
+        found.append(Match(notices[i][0], 0, joined.count(" ", start, end) + 1, start, end, edits, round(1 - cost, 6)))
     found.sort(key=lambda m: m.start)
     seen, upto = 0, 0
     for k, m in enumerate(found):
