@@ -1,23 +1,27 @@
 """Sharding by a two-pass external shuffle: every order of the rows is as likely as any other, shard sizes differ by one at most.
 
-Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of their id. Pass two reads one bucket at a time
+Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of the whole row. Pass two reads one bucket at a time
 into memory, shuffles it by Fisher-Yates with a generator seeded by bucket, and writes it. Buckets in order make up one
 global order; shards are its equal parts, so a shard's rows differ in number by one at most, and a row's slot is its place
-in the shard. Buckets know where they begin from a count of ids alone.
+in the shard. Buckets know where they begin from a count of hashes alone.
 
-Inputs: null and empty texts are rows like any other (size 8). Null ids are rows with one hash. Rows with equal ids go to one bucket, as
-rows with equal texts do not: groups of copies spread over all shards. Within a bucket the order before shuffling is fixed
-by hash, id and text, so results are the same for any partitioning of the input. Empty tables give no rows. Columns that are
-called like those added here are replaced.
+Rows that are equal in every column share a hash. Where they are more than HEAVY of a bucket, they are scattered by number: one of
+them and their count are what is left of them after a partial aggregation, and the copies are made again in blocks, each hashed
+with its number. So no bucket grows with a group of copies, and results depend on the rows alone.
+
+Inputs: null and empty texts are rows like any other (size 8), and so are rows without an id. Groups of copies spread over all
+shards. Within a bucket the order before shuffling is fixed by the rows' hash, so results are the same for any partitioning of the
+input. Empty tables give no rows. Columns called shard or slot are replaced; any other name may stand in the input.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -26,6 +30,8 @@ from quarry.session import written
 
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 32_000_000
+#: Share of a bucket's bytes from which equal rows are scattered by number, and copies made again at once.
+HEAVY, BLOCK = 0.25, 1000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -43,19 +49,56 @@ def edges(rows: int, shards: int) -> np.ndarray:
     return np.array([rows * s // shards for s in range(shards + 1)], np.int64)
 
 
-def shuffled(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with a mark in front of each that is taken."""
+    out = []
+    for name in names:
+        while name.lower() in map(str.lower, taken):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def _hash(df: DataFrame, seed: int) -> Column:
+    """A hash of every column; what has no hash of its own (maps, variants) by its JSON."""
+    columns = [F.to_json(F.struct(f.name)) if re.search("map<|variant", f.dataType.simpleString()) else F.col(f.name) for f in df.schema.fields]
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def shuffled(df: DataFrame, shards: int, seed: int = 0, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """`df` with shard and slot, in the global order bucket by bucket."""
     spark = df.sparkSession
-    total = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 8), F.lit(0)).alias("b")).first()["b"]
+    df = df.drop("shard", "slot")
+    one, two, bucket, number, row = _fresh([*df.columns, "size"], "one", "two", "bucket", "number", "row")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 8
+    hashed = df.withColumns({one: _hash(df, seed), two: _hash(df, seed + 1)})
+    each = written(hashed.groupBy(one, two).agg(F.count("*").alias(number), F.sum(size).alias("size")), "shard-hashes")
+    total = each.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n)).cast("int")
+    large = HEAVY * min(bucket_bytes, max(total // n, 1 << 20))
+    heavy = each.where(F.col("size") > large).select(one, two, number).collect()  # at most 1 / HEAVY rows a bucket
+    place = F.pmod(F.xxhash64(F.lit(seed), one, two), F.lit(n)).cast("int")
     counts = np.zeros(n, np.int64)
-    for r in df.select(bucket.alias("bucket")).groupBy("bucket").count().collect():  # a row a bucket: 16 bytes for bucket_bytes of text
-        counts[r["bucket"]] = r["count"]
+    if heavy:
+        few = F.broadcast(spark.createDataFrame(heavy, f"{one} long, {two} long, {number} long"))
+        inside = hashed.join(few.drop(number), [one, two], "left_semi").groupBy(one, two).agg(F.first(F.struct(*df.columns)).alias(row))
+        blocks = inside.join(few, [one, two]).withColumn(bucket, F.explode(F.sequence(F.lit(0), ((F.col(number) - 1) / BLOCK).cast("long"))))
+        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), one, two, bucket)
+        copies = F.explode(F.sequence(F.col(bucket) * BLOCK, F.least((F.col(bucket) + 1) * BLOCK, number) - 1))
+        by_number = F.pmod(F.xxhash64(F.lit(seed), one, two, number), F.lit(n)).cast("int")
+        blocks = blocks.select(row, one, two, copies.alias(number))
+        scattered = hashed.join(few, [one, two], "left_anti").withColumn(bucket, place).unionByName(blocks.select(f"{row}.*", one, two, by_number.alias(bucket)))
+        spread = blocks.select(by_number.alias(bucket)).groupBy(bucket).count().collect()
+        each = each.join(few, [one, two], "left_anti")
+    else:
+        scattered, spread = hashed.withColumn(bucket, place), []
+    # a row a bucket: 16 bytes for bucket_bytes of text
+    for b, held in [*each.select(place.alias(bucket), number).groupBy(bucket).agg(F.sum(number)).collect(), *spread]:
+        counts[b] += held
     first = np.concatenate(([0], np.cumsum(counts)))
     cuts = edges(int(first[-1]), shards)
     shared = spark.sparkContext.broadcast((first, cuts))
-    fields = [f for f in df.schema.fields if f.name not in ("shard", "slot")]
+    fields = df.schema.fields
     schema = StructType([*fields, StructField("shard", LongType()), StructField("slot", LongType())])
     width = len(fields)
 
@@ -88,9 +131,8 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id",
         if held:
             yield from deal(held, now)
 
-    names = [F.col(f.name) for f in fields]
-    scattered = df.select(*names, bucket.alias("__bucket")).repartitionById(n, "__bucket").sortWithinPartitions("__bucket", F.xxhash64(F.lit(seed + 1), F.col(id_col)), id_col, F.xxhash64(text_col))
-    return arrow_map(scattered, batches, schema)
+    scattered = scattered.repartitionById(n, bucket).sortWithinPartitions(bucket, one, two)
+    return arrow_map(scattered.select(*df.columns, bucket), batches, schema)
 
 
 def sharded(df: DataFrame, shards: int, seed: int = 0, **kw: object) -> DataFrame:
