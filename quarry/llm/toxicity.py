@@ -1,20 +1,25 @@
-"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks over a document's words.
+"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks, trained on the sentences of labelled documents.
 
 The kernel of two words is the gap-weighted count of the three-letter subsequences they share (letters up to SPAN apart; each
 skipped letter costs a factor DECAY), on words with start and end marks, divided by the words' own weights, and sharpened by an
 exponential. Inserted letters and gaps only weaken it; marks between letters are dropped first, and runs of single letters
-are read as one word.
+are read as words. A sentence's margin is the greatest of its words'.
 
-Learning takes labelled documents, cut into sentences. A toxic document is a bag of sentences of which few are to blame, so
-the SVM is trained as multiple instances: words over-represented in toxic documents start as witnesses and landmarks, and
-each round takes the words that the last machine marks in sentences of toxic documents against all words of clean
-sentences. A word is seen through its kernel values with the landmarks only (Nyström), which a compact table of the
-landmarks' subsequences gives. A logistic model on held-back training documents turns a document's number, share and best
-of marked words into the score.
+Learning takes sentences with their documents' labels, as bags of words (multiple instances). A sentence takes part as its best
+word, by the last machine, at first by how over-represented words are in toxic documents. Of a toxic document few sentences are
+to blame: those with a clearly over-represented word are positive first, then those that the last machine marks. All sentences of
+clean documents are negative, each by its best word and by one that its hash picks, so the words nearest to insults count as
+often as they stand in clean text. Both kinds also take part with a letter inserted and one doubled. A word is seen through its
+kernel values with the landmarks only (Nyström), which a compact table of the landmarks' subsequences gives. A logistic model on
+held-back training documents turns a document's number, share and best margin of marked words into the score.
 
-Inputs: null and empty texts have no words and get the score of a document without marked words. Rows with null labels are not
+Sentences end at a token that ends in . ! or ? and at a line's end. Words of more than LONG letters are
+read in overlapping parts, of which each landmark takes the nearest; runs of more than eight single letters as the words of five to
+eight letters in them. These rules hold for every text alike.
+
+Inputs: null and empty texts have no words and get the score of a document without marked ones. Rows with null labels are not
 learned from. If either class is missing, every score is 0. Repeated doc_ids are rows of their own; extra columns are
-ignored. Texts are scored whole; long words are read in overlapping parts.
+ignored. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -37,18 +42,22 @@ SPAN, DECAY = 5, 0.6
 #: Letters of a word beyond which it is read in overlapping parts, and how far these are apart.
 LONG, STEP = 24, 12
 CODES = 64
-#: What learning takes at most: documents of each class, bytes of text, landmarks, rounds of multiple instances.
-MAX_DOCS, MAX_BYTES, LANDMARKS, ROUNDS = 3000, 16_000_000, 128, 3
+#: What learning takes at most: documents of each class, bytes of text, sentences of each class, by hash.
+MAX_DOCS, MAX_BYTES, MAX_SENTENCES = 3000, 16_000_000, 40_000
+#: Landmarks, rounds of multiple instances, standard errors from which a word is clearly over-represented.
+LANDMARKS, ROUNDS, CLEAR = 128, 3, 4.0
 #: Sharpness of the kernel, chosen on the documents held back.
 SHARPNESS = (4.0, 8.0)
-#: Score from which a document counts as toxic when models are compared.
-AIM = 0.3
+#: Weight of the sentences' errors against the machine's norm.
+C = 3.0
+#: Margins from which a word may count as marked; chosen like the sharpness.
+MARKS = (0.4, 0.7, 1.0)
 #: Toxic documents below which the logistic model learns from the same documents as the words.
 FEW = 60
 #: Words whose margins a worker remembers.
 TABLE = 900_000
 SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-SENTENCE = re.compile(r"[.!?\n]+")
+CLOSERS = "\"')]}»”’"
 
 
 class Machine(NamedTuple):
@@ -114,8 +123,8 @@ def subsequences(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return codes, w, scale
 
 
-def kernels(words: list[str], row_of: np.ndarray, land: np.ndarray, sharpness: float) -> np.ndarray:
-    """exp(sharpness * (kernel - 1)) of words of at most LONG letters with each landmark."""
+def _raw_kernels(words: list[str], row_of: np.ndarray, land: np.ndarray) -> np.ndarray:
+    """Kernel of words of at most LONG letters with each landmark."""
     out = np.zeros((len(words), land.shape[1]), np.float32)
     by_length: dict[int, list[int]] = {}
     for k, word in enumerate(words):
@@ -131,34 +140,63 @@ def kernels(words: list[str], row_of: np.ndarray, land: np.ndarray, sharpness: f
             if len(word):
                 first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
                 out[some[word[first]]] = np.add.reduceat(land[rows[word, place]] * (w[place] * scale[word]).astype(np.float32)[:, None], first, axis=0)
+    return out
+
+
+def kernels(words: list[str], row_of: np.ndarray, land: np.ndarray, sharpness: float) -> np.ndarray:
+    """exp(sharpness * (kernel - 1)) of words with each landmark; of a long word, its nearest part's."""
+    out = _raw_kernels([w if len(w) <= LONG else "" for w in words], row_of, land)
+    cut = [(k, part) for k, w in enumerate(words) if len(w) > LONG for part in parts(w)]
+    for lo in range(0, len(cut), 10_000):
+        some = cut[lo : lo + 10_000]
+        np.maximum.at(out, [k for k, _ in some], _raw_kernels([x for _, x in some], row_of, land))
     return np.exp(np.float32(sharpness) * (out - 1))
 
 
 def margins(words: list[str], machine: Machine) -> np.ndarray:
-    """Margin of each word; of a long one, its best part's."""
-    whole = [k for k, w in enumerate(words) if len(w) > LONG]
-    cut = [(k, part) for k in whole for part in parts(words[k])]
+    """Margin of each word."""
     out = np.empty(len(words))
     for lo in range(0, len(words), 20_000):
-        short = [w if len(w) <= LONG else "" for w in words[lo : lo + 20_000]]
-        out[lo : lo + 20_000] = kernels(short, *machine[:3]) @ machine.weights + machine.bias
-    if cut:
-        out[whole] = -np.inf
-        np.maximum.at(out, [k for k, _ in cut], kernels([x for _, x in cut], *machine[:3]) @ machine.weights + machine.bias)
+        out[lo : lo + 20_000] = kernels(words[lo : lo + 20_000], *machine[:3]) @ machine.weights + machine.bias
     return out
 
 
-def tokens(text: str) -> list[str]:
-    """White-space separated tokens; runs of four or more single characters are also read as one word, long runs as the words of five to eight letters in them."""
-    found = text.split()
+def ends(token: str) -> bool:
+    """Whether a sentence ends with the token."""
+    return token.rstrip(CLOSERS)[-1:] in (".", "!", "?")
+
+
+def spelled(text: str) -> list[str]:
+    """Words that runs of four or more single characters spell; of long runs, the words of five to eight letters in them."""
+    out = []
     for m in SPELLED.findall(text):
         run = m.replace(" ", "")
-        found += [run] if len(run) <= 8 else [run[i : i + n] for n in (5, 6, 7, 8) for i in range(len(run) - n + 1)]
-    return found
+        out += [run] if len(run) <= 8 else [run[i : i + n] for n in (5, 6, 7, 8) for i in range(len(run) - n + 1)]
+    return out
+
+
+def tokens(text: str) -> list[str]:
+    """White-space separated tokens, and spelled words."""
+    return text.split() + spelled(text)
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The text's sentences as letters of their words, without those that have none."""
+    out: list[list[str]] = [[]]
+    for line in text.splitlines():
+        for token in line.split():
+            if word := letters(token):
+                out[-1].append(word)
+            if out[-1] and ends(token):
+                out.append([])
+        if out[-1]:
+            out.append([])
+    out += [[w] for token in spelled(text) if (w := letters(token))]
+    return [s for s in out if s]
 
 
 def document_features(m: np.ndarray, marked: float) -> tuple[float, float, float]:
-    """Soft number of marked words (a margin of 0.25 above the mark counts as one, less as its part), per mille, best margin."""
+    """Of the words' margins: soft number of marked ones (a margin of 0.25 above the mark counts as one, less as its part), per mille, best margin."""
     if not len(m):
         return 0.0, 0.0, -2.0
     soft = float(np.clip((m - marked) / 0.25, 0.0, 1.0).sum())
@@ -224,68 +262,114 @@ def firsts(texts: list[list[list[str]]]) -> np.ndarray:
 
 def _landmarks(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row of each code and the rows: how much of each landmark's unit vector is on the code."""
-    found = [(m, subsequences([part], len(part))) for m, word in enumerate(marks) for part in parts(word)[:1]]
+    found = [(m, subsequences([part], len(part))) for m, word in enumerate(marks) for part in parts(word)]
     codes = np.unique(np.concatenate([c[0] for _, (c, _, _) in found]))
     row_of = np.zeros(CODES**3, np.int32)
     row_of[codes] = np.arange(1, len(codes) + 1)
     land = np.zeros((len(codes) + 1, len(marks)), np.float32)
+    several = np.bincount([m for m, _ in found], minlength=len(marks))  # a long landmark is the mean of its parts
     for m, (c, w, scale) in found:
-        np.add.at(land, (row_of[c[0]], m), w * scale[0])
+        np.add.at(land, (row_of[c[0]], m), w * scale[0] / several[m])
     return row_of, land
 
 
-def disguised(words: list[str]) -> list[str]:
-    """Words of five or more letters with a letter inserted and with one doubled, at places their hash gives."""
-    out = []
-    for w in words:
-        if len(w) >= 5:
-            h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            at = 1 + h % (len(w) - 1)
-            out += [w[:at] + "xqzk"[h % 4] + w[at:], w[:at] + w[at - 1] + w[at:]]
-    return out
+def bent(word: str) -> list[str]:
+    """The word with a letter inserted and with one doubled, at places its hash gives; itself if it is short."""
+    if len(word) < 5:
+        return [word, word]
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    at = 1 + h % (len(word) - 1)
+    return [word[:at] + "xqzk"[h % 4] + word[at:], word[:at] + word[at - 1] + word[at:]]
 
 
-def train_words(pos: Counter, neg: Counter, n_pos: int, n_neg: int, sharpness: float) -> Machine | None:
-    """The word machine from the numbers of toxic and of clean documents with each word."""
-    z = {}  # over-representation in toxic documents, in standard errors
+def over_represented(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """By word of toxic documents: how many standard errors the share of documents with it lies above the clean ones'."""
+    pos, neg = Counter(w for bag in toxic for w in bag), Counter(w for bag in clean for w in bag)
+    n_pos, n_neg, out = len(toxic), len(clean), {}
     for w, k in pos.items():
         if len(w) >= 2 and k >= 2:
             p1, p0, p = k / n_pos, (neg[w] + 0.5) / (n_neg + 1), (k + neg[w] + 0.5) / (n_pos + n_neg + 1)
-            z[w] = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-12)
-    rank = sorted(z, key=lambda w: (-z[w], w))
-    witness = [w for w in rank if z[w] >= 4][:1500] or rank[:20]
-    if not witness:
-        return None
-    clean = [w for w in sorted(neg, key=lambda w: (-neg[w], w)) if len(w) >= 2 and z.get(w, 0) < 1]
-    marks = witness[: LANDMARKS * 3 // 4]
-    marks = marks + clean[: LANDMARKS - len(marks)]
-    row_of, land = _landmarks(marks)
-    gram = kernels([parts(w)[0] for w in marks], row_of, land, sharpness).astype(float)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    root = vector / np.sqrt(np.maximum(value, 1e-3))  # from kernel values to Nyström features
-
-    def features(words: list[str]) -> np.ndarray:
-        return np.concatenate([kernels([parts(w)[0] for w in words], row_of, land, sharpness) @ root, np.ones((len(words), 1))], axis=1)
-
-    spread = clean[:1500] + clean[1500 :: max(1, len(clean) // 2500)]
-    machine, negatives, other = None, spread, [w for w in neg if z.get(w, 0) < 3]
-    other = sorted(other, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:60_000]
-    for step in range(ROUNDS):
-        bent = disguised(witness[:300])
-        x = np.concatenate([features(witness), features(bent), features(negatives)])
-        n_witness = len(witness) + len(bent)
-        y = np.concatenate([np.ones(n_witness), -np.ones(len(negatives))])
-        share = np.where(y > 0, 0.15 / n_witness, 0.85 / len(negatives)) * len(y)
-        w = _svm(x, y, share, c=3.0)
-        machine = Machine(row_of, land, sharpness, root @ w[:-1], float(w[-1]))
-        if step == ROUNDS - 1:
-            break
-        hard = margins(other, machine)  # the clean words nearest to the witnesses
-        negatives = sorted(set(spread) | {other[i] for i in np.argsort(-hard, kind="stable")[:3000]})
-        seen = [q for q in pos if len(q) >= 2 and z.get(q, 0) >= 1.5]
-        good = margins(seen, machine)
-        witness = sorted({q for q, m in zip(seen, good) if m > 0} | {q for q in rank[:100] if z[q] >= 3}, key=lambda q: (-z[q], q))[:2500] or witness
-    return machine
+            out[w] = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n_pos + 1 / n_neg) + 1e-12)
+    return out
+
+
+def _bounded(rows: list[list[str]], most: int) -> list[list[str]]:
+    """At most `most` sentences, by their words' hash."""
+    if len(rows) <= most:
+        return rows
+    marks = [zlib.crc32(" ".join(s).encode("utf-8", "surrogatepass")) for s in rows]
+    return [rows[k] for k in sorted(sorted(range(len(rows)), key=lambda k: (marks[k], k))[:most])]
+
+
+class Sample:
+    """Labelled sentences and the kernel values of their words with the landmarks; machines of any sharpness are trained on it."""
+
+    def __init__(self, texts: list[list[list[str]]], toxic: np.ndarray):
+        """texts: documents as sentences of words."""
+        bags = [set().union(*map(set, t)) if t else set() for t in texts]
+        z = over_represented([b for b, t in zip(bags, toxic) if t], [b for b, t in zip(bags, toxic) if not t])
+        rank = sorted(z, key=lambda w: (-z[w], w))
+        often = Counter(w for b, t in zip(bags, toxic) if not t for w in b)
+        clean = [w for w in sorted(often, key=lambda w: (-often[w], w)) if len(w) >= 2 and z.get(w, 0) < 1][: LANDMARKS // 4]
+        self.marks = [w for w in rank if z[w] > 0][: LANDMARKS - len(clean)] + clean
+        pos = _bounded([s for k, t in enumerate(texts) if toxic[k] for s in t], MAX_SENTENCES)
+        neg = _bounded([s for k, t in enumerate(texts) if not toxic[k] for s in t], MAX_SENTENCES)
+        self.n_pos, rows = len(pos), pos + neg
+        self.vocab = sorted(set().union(*map(set, rows)))
+        place = {w: k for k, w in enumerate(self.vocab)}
+        self.words = np.fromiter((place[w] for s in rows for w in s), np.int64)
+        self.first = np.cumsum([0, *map(len, rows)])[:-1]  # of each sentence
+        self.z = np.array([z.get(w, -9.0) for w in self.vocab])
+        hashed = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in self.vocab], float)
+        self.picked = self.best(hashed)[0][self.n_pos :]
+        if self.marks:
+            self.row_of, self.land = _landmarks(self.marks)
+
+    def best(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's first word of the greatest value, and that value."""
+        if not len(self.first):
+            return np.empty(0, np.int64), np.empty(0)
+        own = value[self.words]
+        top = np.maximum.reduceat(own, self.first)
+        size = np.diff(np.append(self.first, len(own)))
+        at = np.flatnonzero(own == np.repeat(top, size))
+        sentence = np.searchsorted(self.first, at, "right") - 1
+        return self.words[at[np.unique(sentence, return_index=True)[1]]], top
+
+    def machine(self, sharpness: float) -> Machine | None:
+        """The machine after ROUNDS rounds of multiple instances."""
+        if not self.marks or not self.n_pos or self.n_pos == len(self.first):
+            return None
+        gram = kernels(self.marks, self.row_of, self.land, sharpness).astype(float)
+        value, vector = np.linalg.eigh((gram + gram.T) / 2)
+        root = vector / np.sqrt(np.maximum(value, 1e-3))  # from kernel values to Nyström features
+
+        def features(words: list[str]) -> np.ndarray:
+            x = kernels(words, self.row_of, self.land, sharpness) @ root.astype(np.float32)
+            return np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+
+        x = np.concatenate([features(self.vocab[lo : lo + 20_000]) for lo in range(0, len(self.vocab), 20_000)])
+        at, top = self.best(self.z)
+        positive = at[: self.n_pos][top[: self.n_pos] >= CLEAR]
+        if not len(positive):
+            positive = at[: self.n_pos]
+        w = None
+        for step in range(ROUNDS):
+            rows, y, weight = [], [], []
+            for words, label, share in ((positive, 1.0, 0.15), (np.concatenate([at[self.n_pos :], self.picked]), -1.0, 0.85)):
+                some, count = np.unique(words, return_counts=True)  # equal words are one row of their weight
+                twisted = features([b for k in some for b in bent(self.vocab[k])])
+                rows += [x[some], twisted]
+                y.append(np.full(3 * len(some), label))
+                each = np.concatenate([count, np.repeat(count, 2)])
+                weight.append(share * each / each.sum())
+            y = np.concatenate(y)
+            w = _svm(np.concatenate(rows), y, np.concatenate(weight) * len(y), C)
+            if step < ROUNDS - 1:
+                at, top = self.best(x @ w)
+                marked = top[: self.n_pos] > 0
+                positive = at[: self.n_pos][marked] if marked.any() else positive
+        return Machine(self.row_of, self.land, sharpness, root @ w[:-1], float(w[-1]))
 
 
 def learn(texts: list[str], toxic: np.ndarray, back: np.ndarray) -> Model | None:
@@ -293,39 +377,31 @@ def learn(texts: list[str], toxic: np.ndarray, back: np.ndarray) -> Model | None
     if toxic.all() or not toxic.any():
         return None
     one: dict[str, str] = {}  # equal words share one string
-    sentences = [[[one.setdefault(w, w) for t in tokens(s) if (w := letters(t))] for s in SENTENCE.split(x)] for x in texts]
-    bags = [set().union(*map(set, s)) if s else set() for s in sentences]
-    own = firsts(sentences)  # copies of one text would make all of its words look like witnesses
-    sentences, bags = [s for s, o in zip(sentences, own) if o], [b for b, o in zip(bags, own) if o]
-    texts, toxic, back = [x for x, o in zip(texts, own) if o], toxic[own], back[own]
+    cut = [[[one.setdefault(w, w) for w in s] for s in sentences(x)] for x in texts]
+    own = firsts(cut)  # copies of one text would make all of its words look like witnesses
+    cut, toxic, back = [s for s, o in zip(cut, own) if o], toxic[own], back[own]
     if toxic.all() or not toxic.any():
         return None
     if toxic.sum() < FEW or min((toxic & back).sum(), (~toxic & back).sum(), (~toxic & ~back).sum()) < 5:
-        back = np.ones(len(texts), bool)
-
-    def machine_of(fit: np.ndarray, sharpness: float) -> Machine | None:
-        pos, neg = Counter(), Counter()
-        for bag, t, f in zip(bags, toxic, fit):
-            if f:
-                (pos if t else neg).update(bag)
-        return train_words(pos, neg, int((toxic & fit).sum()), int((~toxic & fit).sum()), sharpness)
-
+        back = np.ones(len(cut), bool)
+    fit = ~back if not back.all() else back
+    sample = Sample([s for s, f in zip(cut, fit) if f], toxic[fit])
     best, y = None, toxic[back].astype(float)
-    vocab = sorted(set().union(*(bags[i] for i in np.flatnonzero(back))))
+    held = [s for s, b in zip(cut, back) if b]
+    vocab = sorted(set().union(*(w for t in held for w in map(set, t))))
     for sharpness in SHARPNESS:
-        machine = machine_of(~back if not back.all() else back, sharpness)
+        machine = sample.machine(sharpness)
         if machine is None:
             return None
         margin = dict(zip(vocab, margins(vocab, machine).tolist()))
-        held = [np.array([margin[w] for s in sentences[i] for w in s]) for i in np.flatnonzero(back)]
-        for marked in (0.0, 0.4, 0.7):
-            x = np.array([(1.0, *document_features(m, marked)) for m in held])
+        found = [np.array([margin[w] for s in t for w in s]) for t in held]
+        for marked in MARKS:
+            x = np.array([(1.0, *document_features(m, marked)) for m in found])
             logit = _rising(x, y)
             p = 1 / (1 + np.exp(-np.clip(x @ logit, -30, 30)))
             loss = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
-            rank = (int(((p >= AIM) != (y > 0)).sum()), loss)
-            if best is None or rank < best[0]:
-                best = (rank, Model(machine, marked, logit))
+            if best is None or loss < best[0]:
+                best = (loss, Model(machine, marked, logit))
     return best[1]
 
 
@@ -346,11 +422,10 @@ class Scorer:
             known.clear()
             new = set().union(*map(set, found))
         plain = dict(zip(new, map(letters, new)))
-        words = list(set(plain.values()).difference(known) - {""})
-        known.update(zip(words, margins(words, self.model.machine).tolist()))
-        known[""] = np.nan
-        known.update([(raw, known[word]) for raw, word in plain.items()])
-        get = self.known.__getitem__
+        words = list(set(plain.values()) - {""})
+        margin = dict(zip(words, margins(words, self.model.machine).tolist())) | {"": np.nan}
+        known.update([(raw, margin[word]) for raw, word in plain.items()])
+        get = known.__getitem__
         out = np.empty(len(texts))
         for k, doc in enumerate(found):
             m = np.fromiter(map(get, doc), float, len(doc))
