@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, documents
 
 #: Entries of the tables of words and of pieces that a worker remembers; a full table starts anew.
-TABLE, PIECES = 1 << 18, 1 << 16
+TABLE, PIECES = 800_000, 100_000
 #: Characters of a text that are fed at once, and of an open piece beyond which it is streamed.
 PART, PIECE = 1 << 14, 1024
 #: The split that byte_bpe_50k.json's byte-level pre-tokenizer makes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN = regex.compile(SPLIT)
 NEWLINES = re.compile(r"\n+")
+#: Marks that are a piece of their own after letters.
+MARKS = frozenset(".,;:!?")
 #: Runs that a split piece may consist of, by the piece's last character.
 RUNS = {"L": regex.compile(r"\p{L}+"), "N": regex.compile(r"\p{N}+"), "S": regex.compile(r"\s+"), "O": regex.compile(r"[^\s\p{L}\p{N}]+")}
 
@@ -192,6 +194,19 @@ class Closed:
             ids += got
         return ids
 
+    def word(self, word: str) -> bytes:
+        """Ids of a word that stands after a space or begins with newlines; enters it. Latin letters are one piece in any version of Unicode, and a mark after them another."""
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            ids = self.merges.merge(b" " + word.encode())
+        elif word[-1] in MARKS and word[:-1].isalpha() and (word.isascii() or max(word) < "\u0250"):
+            body = self.words.get(word[:-1])
+            got = self.words[word] = (self.word(word[:-1]) if body is None else body) + array(self.code, self.split(word[-1])).tobytes()
+            return got
+        else:
+            ids = self.split(word if word[0] == "\n" else " " + word)
+        got = self.words[word] = array(self.code, ids).tobytes()
+        return got
+
     def ids(self, text: str) -> list[int]:
         row = (NEWLINES.sub(" \\g<0>", text) if "\n\n" in text else text.replace("\n", " \n")).split(" ")
         head, words = row[0], row[1:]
@@ -200,11 +215,11 @@ class Closed:
             new = {w for w, got in zip(words, found) if got is None}
             if not all(map(self.alone, new)):
                 return self.split(text)
-            if len(self.words) + len(new) > TABLE:
+            if len(self.words) + 2 * len(new) > TABLE:
                 self.words.clear()
                 new = set(words)
             for w in new:
-                self.words[w] = array(self.code, self.split(w if w[0] == "\n" else " " + w)).tobytes()
+                self.word(w)
             found = map(self.words.__getitem__, words)
         if head and head[-1].isspace():
             return self.split(text)
