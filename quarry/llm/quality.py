@@ -179,7 +179,8 @@ def learned(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     total = known.count()
     if total > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
-    rows = stats.where(~base_failed()).join(known, "doc_id").select("doc_id", "quality", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
+    rows = stats.where(~base_failed()).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("x"))  # a row an id, however often it stands there
+    rows = rows.select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id", kind="stable")
     third = np.array([zlib.crc32(b"prune%d" % i) % 3 == 0 for i in rows["doc_id"]], bool)
     return learn(rows[list(FEATURES)].to_numpy(float), (rows["quality"] == 0).to_numpy(bool), third)
 
