@@ -466,7 +466,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_byte
 
     few = known.where(chosen({t: max_docs / n for t, n in least.items()}))  # about max_docs ids of each class: small enough to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = written(rows.join(F.broadcast(few), "doc_id"), "toxicity-labelled")
+    rows = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a row an id, however often it stands there
+    rows = written(rows, "toxicity-labelled")
     size = {r["toxic"]: r["b"] for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if len(size) < 2:
         return None
