@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ship, table, written
+from quarry.session import discard, ship, table, written
 
 #: Rows of an Arrow batch sent to Python: with texts of up to a few hundred KB a batch stays within tens of MB.
 BATCH_ROWS = 1000
@@ -40,8 +40,9 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a long, b long) as (id, component), component the smallest id.
 
     Alternates large-star and small-star steps until the stars stop changing; every step is a shuffle on the node
-    with the neighbourhood's minimum as a window-free aggregate, so no neighbourhood is gathered in one row. Each
-    round is written to the shared folder. Null ends and self links are ignored; an empty input gives no rows.
+    with the neighbourhood's minimum as a window-free aggregate, so no neighbourhood is gathered in one row. The join of a star's
+    links with its one minimum is one that Spark splits where a star is large (skewJoin). Each round is written to the shared folder,
+    and the one before it deleted. Null ends and self links are ignored; an empty input gives no rows.
     """
     cur = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     state = _state(cur)
@@ -55,8 +56,9 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = written(small.where("a <> b").distinct(), f"{name}-stars")
-        mark, cur = state, new
-        state = _state(new)
+        mark, state = state, _state(new)
+        discard(cur)
+        cur = new
         if state == mark:
             return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, html, huffman, licenses, quality, sharding, simhash, tokencount, toxicity
+from quarry.llm import bpe, decontaminate, html, huffman, licenses, parts, quality, sharding, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_html": html.op9_html,
     "op10_bpe": bpe.op10_bpe,
+    **parts.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Of the ten queries none is SQL as a whole; `parts` has what of them is.
+ORACLE_SQL: dict[str, str] = dict(parts.ORACLE_SQL)
