@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The tables of a folder, sorted: its entries called <name>.parquet, listed through Spark's file systems."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath().getName() for f in found]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views for the named tables (all of them by default)."""
     for name in names or TABLES:
@@ -58,9 +67,11 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset and all runs on one machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}/checkpoints/quarry-{os.getpid()}"
     return shared.rstrip("/")
 
@@ -78,17 +89,29 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compre
     path = scratch_path(spark, name)
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    _scratch.remove((session, path))
+    p = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `written` made, once nothing that is still to run reads it."""
+    path = getattr(df, "_scratch_path", None)
+    if path and (df.sparkSession, path) in _scratch:
+        _delete(df.sparkSession, path)
 
 
 def clean(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables written so far (of one session, or all); frames that read them must be done."""
     for session, path in [x for x in _scratch if spark is None or x[0] is spark]:
-        _scratch.remove((session, path))
         try:
-            jvm = session.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(session, path)
         except Exception:  # the session may be gone at exit
             continue
 
