@@ -11,6 +11,11 @@ def epoch(ts: Column) -> Column:
     return F.unix_timestamp(ts).cast("long")
 
 
+def epoch_of_text(text: Column) -> Column:
+    """A text `2014-09-13 23:59:59` in the session's zone as epoch seconds; null where it is none."""
+    return epoch(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
 def normalized(x: Column, lo: Column, hi: Column) -> Column:
     """(ln(1 + x) - lo) / (hi - lo); 0 where the bounds are equal. Values beyond the bounds stay beyond 0 and 1."""
     return F.coalesce(F.try_divide(F.log1p(x) - lo, hi - lo), F.lit(0.0))

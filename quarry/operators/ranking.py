@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import table
+from quarry.session import table, written
 
 
 def pairs(cands: DataFrame) -> DataFrame:
@@ -59,6 +59,19 @@ def ranking_loss(cands: DataFrame) -> DataFrame:
     return rank_correlation(cands).agg(F.round(1 - F.avg("rho"), 6).alias("ranking_loss"), F.count("rho").alias("n_queries"))
 
 
+def numbered(df: DataFrame, *keys: str, name: str = "number") -> DataFrame:
+    """`df` with consecutive numbers from 0 in the order of `keys`, which tell rows apart: ranges are sorted side by side, and a row a range says where it begins."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(width, *keys).withColumn("_range", F.spark_partition_id()), "numbered")
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        starts.append((r["_range"], before))
+        before += r["count"]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _first long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1 + F.col("_first")
+    return ranged.join(first, "_range").withColumn(name, place).drop("_range", "_first")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, cand_id, latency, score) of the customers' orders."""
     score = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("score"))
@@ -76,6 +89,7 @@ def _rounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "order_numbers": lambda s, d: numbered(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "number"),
     "candidate_pairs": lambda s, d: pairs(_orders(s, d)),
     "rank_scores": _rounded_scores,
     "plan_choice_argmin": lambda s, d: choose(candidates(s, d)),
@@ -91,6 +105,7 @@ _RHO = f"""WITH r AS (SELECT query_id, RANK() OVER (PARTITION BY query_id ORDER
     RANK() OVER (PARTITION BY query_id ORDER BY latency) + (COUNT(*) OVER (PARTITION BY query_id, latency) - 1) / 2.0 AS y FROM ({_CANDS}))
     SELECT query_id, CASE WHEN MIN(x) < MAX(x) AND MIN(y) < MAX(y) THEN CORR(x, y) END AS rho FROM r GROUP BY query_id"""
 ORACLE_SQL = {
+    "order_numbers": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS number FROM orders",
     "candidate_pairs": "SELECT a.o_custkey AS query_id, a.o_orderkey AS cand_a, b.o_orderkey AS cand_b, CASE WHEN a.o_totalprice >= b.o_totalprice THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey",
     "rank_scores": "SELECT query_id, cand_id, place, POW(place, 2) AS square, POW(place, 4) AS fourth, ROUND(LOG10(EXP(place)), 6) AS log_exponential FROM (SELECT o_custkey AS query_id, o_orderkey AS cand_id, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders)",
     "plan_choice_argmin": _CHOSEN,

@@ -19,7 +19,10 @@ from quarry.operators.workload import TEMPLATES, WORKLOAD, parse
 from quarry.session import ship
 
 Domain = tuple[str, float, float, bool, list[str]]  # kind, least, greatest, integral, values
+# How often synthesis draws each comparison, each form of a text predicate, and each number of a template's predicates.
 OPS, WEIGHTS = ("=", "!=", ">", "<", ">=", "<="), (1, 7, 7, 7, 7, 7)
+TEXT_OPS, TEXT_WEIGHTS = ("=", "!=", "LIKE", "IN"), (1, 13, 13, 13)
+NUMBERS, NUMBER_WEIGHTS = (2, 3, 4, 5, 6), (1, 3, 3, 2, 1)
 
 
 @dataclass
@@ -48,7 +51,7 @@ def predicate(rng: random.Random, column: str, domain: Domain, wide: bool) -> st
         return f"{column} {op} {rng.randint(int(lo), int(hi)) if integral else round(rng.uniform(lo, hi), 2)}"
     if not values:
         return None
-    op = rng.choices(("=", "!=", "IN", "LIKE"), (3, 1, 3, 3))[0] if wide else rng.choice(("=", "!="))
+    op = rng.choices(TEXT_OPS, TEXT_WEIGHTS)[0] if wide else rng.choice(("=", "!="))
     if op == "IN" and len(values) > 2:
         return f"{column} IN ({', '.join(quoted(v) for v in rng.sample(values, rng.randint(2, min(7, len(values) - 1))))})"
     if op == "LIKE":
@@ -71,9 +74,29 @@ def classes(joins: list[tuple[str, str]]) -> dict[str, str]:
     return {c: find(c) for c in parent}
 
 
-def filters(rng: random.Random, spec: Spec, aliases: list[str], joins: list[tuple[str, str]], n: int, wide: bool, columns: list[str] | None = None) -> list[str]:
-    """Up to n predicates on different classes of the aliases' filter columns."""
+def shared(rng: random.Random, spec: Spec, aliases: list[str], joins: list[tuple[str, str]], n: int) -> tuple[list[str], set[str]]:
+    """Up to n predicates, all of a table's aliases on one filter column of it, for the tables that have several; and the classes they are on."""
     same, used, out = classes(joins), set(), []
+    for name in sorted({spec.tables[a] for a in aliases}):
+        own = [a for a in aliases if spec.tables[a] == name]
+        known = sorted({c.split(".")[1] for c in spec.filters if spec.tables[c.split(".")[0]] == name})
+        domain = {x: d for x in known for a in spec.tables if spec.tables[a] == name and (d := spec.domains.get(f"{a}.{x}"))}
+        if len(own) < 2 or not domain:
+            continue
+        column = rng.choice(sorted(domain))
+        for a in own:
+            key = same.get(f"{a}.{column}", f"{a}.{column}")
+            if len(out) < n and key not in used and (p := predicate(rng, f"{a}.{column}", domain[column], True)):
+                used.add(key)
+                out.append(p)
+    return out, used
+
+
+def filters(
+    rng: random.Random, spec: Spec, aliases: list[str], joins: list[tuple[str, str]], n: int, wide: bool, columns: list[str] | None = None, taken: set[str] = frozenset()
+) -> list[str]:
+    """Up to n predicates on different classes of the aliases' filter columns, none of them in `taken`."""
+    same, used, out = classes(joins), set(taken), []
     free = [c for c in (columns or spec.filters) if c.split(".")[0] in aliases and c in spec.domains]
     rng.shuffle(free)
     for c in free:
@@ -114,7 +137,9 @@ def query(spec: Spec, kind: str, number: int, seed: int) -> str:
         found = filters(rng, spec, aliases, joins, rng.choices(*spec.n_filters)[0], False)
     else:
         select, aliases, joins, columns = rng.choice(spec.templates)
-        found = filters(rng, spec, aliases, joins, rng.choices((2, 3, 4, 5, 6), (1, 3, 3, 2, 1))[0], True, columns + [c for c in spec.filters if c not in columns])
+        n = rng.choices(NUMBERS, NUMBER_WEIGHTS)[0]
+        found, used = shared(rng, spec, aliases, joins, n)
+        found += filters(rng, spec, aliases, joins, n - len(found), True, columns + [c for c in spec.filters if c not in columns], used)
     where = [f"{a} = {b}" for a, b in joins] + found
     return f"SELECT {select} FROM {', '.join(f'{spec.tables[a]} AS {a}' for a in aliases)}" + (f" WHERE {' AND '.join(where)}" if where else "")
 
@@ -145,9 +170,10 @@ def specification(spark: SparkSession, sf_dir: str, queries: tuple[str, ...] = W
     found = [p for q in queries if (p := parse(spark, q))]
     tables = {alias: name for p in found for name, alias in p.tables}
     by_table: dict[tuple[str, str], Domain] = {}
-    for r in profile.domain_numeric(spark, sf_dir).collect():
+    names = set(tables.values())
+    for r in profile.domain_numeric(spark, sf_dir, names).collect():
         by_table[r["table"], r["column"]] = ("numeric", r["min_num"], r["max_num"], r["is_integral"], [])
-    for r in profile.domain_top_freq(spark, sf_dir).groupBy("table", "column").agg(F.array_sort(F.collect_list("value")).alias("v")).collect():
+    for r in profile.domain_top_freq(spark, sf_dir, names).groupBy("table", "column").agg(F.array_sort(F.collect_list("value")).alias("v")).collect():
         by_table[r["table"], r["column"]] = ("string", 0.0, 0.0, False, r["v"])
     columns = sorted(set().union(*(p.filter_columns for p in found)))
     domains = {c: d for c in columns if (d := by_table.get((tables[c.split(".")[0]], c.split(".")[1])))}

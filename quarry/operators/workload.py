@@ -163,6 +163,27 @@ def alias_map(df: DataFrame) -> DataFrame:
     return t.groupBy("table").agg(F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("aliases"))
 
 
+def alias_table(df: DataFrame) -> DataFrame:
+    """The table of each alias over all queries; of an alias of several tables, the last query's."""
+    t = df.select("query_id", F.posexplode("tables").alias("place", "t")).select("query_id", "place", "t.table", "t.alias")
+    return t.groupBy("alias").agg(F.max_by("table", F.struct("query_id", "place")).alias("table"))
+
+
+def join_edges(df: DataFrame) -> DataFrame:
+    """(alias, other, condition): the join conditions between every two aliases, from either side."""
+    c = join_conditions(df).select("condition", *[F.split_part(F.split_part("condition", F.lit("="), F.lit(i)), F.lit("."), F.lit(1)).alias(a) for i, a in ((1, "alias"), (2, "other"))])
+    return c.select("alias", "other", "condition").unionByName(c.select(F.col("other").alias("alias"), F.col("alias").alias("other"), "condition")).distinct()
+
+
+def free_columns(df: DataFrame) -> DataFrame:
+    """(query_id, column): the filter columns of a query's tables, over all queries, that the query itself does not filter."""
+    by_table = filter_columns(df).select("table", F.explode(F.split("columns", ",")).alias("name"))
+    known = df.where(F.col("tables").isNotNull()).select("query_id", "filter_columns", F.explode("tables").alias("t"))
+    known = known.join(F.broadcast(by_table.withColumnRenamed("table", "of")), F.col("t.table") == F.col("of"))  # a workload's filter columns are few
+    found = known.groupBy("query_id", "filter_columns").agg(F.collect_set(F.concat_ws(".", "t.alias", "name")).alias("available"))
+    return found.select("query_id", F.explode(F.array_except("available", "filter_columns")).alias("column"))
+
+
 def join_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy(F.size("joins").cast("long").alias("n_joins")).agg(F.count("*").alias("n_queries"))
 
@@ -230,6 +251,9 @@ def _pattern_parts(spark: SparkSession) -> DataFrame:
 QUERIES = {
     "workload_filter_columns": lambda s, d: filter_columns(workload(s)),
     "workload_alias_map": lambda s, d: alias_map(workload(s)),
+    "workload_alias_table": lambda s, d: alias_table(workload(s)),
+    "join_edges": lambda s, d: join_edges(workload(s)),
+    "workload_free_columns": lambda s, d: free_columns(workload(s)),
     "workload_join_histogram": lambda s, d: join_histogram(workload(s)),
     "workload_filter_histogram": lambda s, d: filter_histogram(workload(s)),
     "workload_join_conditions": lambda s, d: join_conditions(workload(s)),
@@ -267,6 +291,11 @@ ORACLE_SQL = {
         c AS (SELECT query_id, split_part(x, '.', 1) AS alias, split_part(x, '.', 2) AS col FROM (SELECT query_id, UNNEST(cols) AS x FROM w))
         SELECT t AS "table", array_to_string(list_sort(list_distinct(list(col))), ',') AS "columns" FROM c JOIN a USING (query_id, alias) GROUP BY t""",
     "workload_alias_map": f"""SELECT t AS "table", array_to_string(list_sort(list_distinct(list(alias))), ',') AS aliases FROM (SELECT regexp_extract(f, '(\\w+) AS', 1) AS t, regexp_extract(f, ' AS (\\w+)', 1) AS alias FROM (SELECT UNNEST(froms) AS f FROM ({_W}))) GROUP BY t""",
+    "workload_alias_table": f"""SELECT alias, ARG_MAX(t, query_id) AS "table" FROM (SELECT query_id, regexp_extract(f, '(\\w+) AS', 1) AS t, regexp_extract(f, ' AS (\\w+)', 1) AS alias FROM (SELECT query_id, UNNEST(froms) AS f FROM ({_W}))) GROUP BY alias""",
+    "join_edges": f"SELECT split_part(a, '.', 1) AS alias, split_part(b, '.', 1) AS other, a || '=' || b AS condition FROM ({_EDGES}) UNION SELECT split_part(b, '.', 1), split_part(a, '.', 1), a || '=' || b FROM ({_EDGES})",
+    "workload_free_columns": f"""WITH w AS ({_W}), a AS (SELECT query_id, regexp_extract(f, '(\\w+) AS', 1) AS t, regexp_extract(f, ' AS (\\w+)', 1) AS alias FROM (SELECT query_id, UNNEST(froms) AS f FROM w)),
+        c AS (SELECT query_id, UNNEST(cols) AS x FROM w), k AS (SELECT DISTINCT t, split_part(x, '.', 2) AS col FROM c JOIN a ON a.query_id = c.query_id AND a.alias = split_part(x, '.', 1))
+        SELECT query_id, alias || '.' || col AS "column" FROM a JOIN k USING (t) EXCEPT SELECT query_id, x FROM c""",
     "workload_join_histogram": f"SELECT CAST(len(joins) AS BIGINT) AS n_joins, COUNT(*) AS n_queries FROM ({_W}) GROUP BY 1",
     "workload_filter_histogram": f"SELECT CAST(len(cols) AS BIGINT) AS n_filters, COUNT(*) AS n_queries FROM ({_W}) GROUP BY 1",
     "workload_join_conditions": f"SELECT DISTINCT UNNEST({_SIDED}) AS condition FROM ({_W})",
