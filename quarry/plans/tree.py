@@ -36,27 +36,24 @@ def flatten(plan_json: str) -> list[tuple]:
     root = json.loads(root) if isinstance(root, str) else root
     took = doc.get("Execution Time")
     rows: list[list] = []
-
-    def walk(node: dict | None) -> tuple[int, list[str]]:
+    stack: list[tuple[dict | None, int, int]] = [(root, -1, 0)]  # node, its parent's place, the column it is entered in
+    while stack:
+        node, parent, side = stack.pop()
         me = len(rows)
+        if parent >= 0:
+            rows[parent][side] = me + 1
         if node is None:
             rows.append([me + 1, 0, 0, "Unknown", None, 0.0, 0.0, 0.0, [], took])
-            return me + 1, []
+            continue
         inputs = node.get("Plans") or []
         if len(inputs) > 2:
             raise ValueError(f"a node with {len(inputs)} inputs: {node['Node Type']}")
-        rows.append([me + 1, 0, 0, node["Node Type"], node.get("Relation Name"), float(node["Plan Rows"]), float(node["Plan Width"]), float(node.get("Total Cost", 0.0)), [], took])
-        below: list[str] = []
+        own = [node["Relation Name"]] if node["Node Type"] in SCANS and node.get("Relation Name") else []
+        rows.append([me + 1, 0, 0, node["Node Type"], node.get("Relation Name"), float(node["Plan Rows"]), float(node["Plan Width"]), float(node.get("Total Cost", 0.0)), own, took])
         if inputs:
-            for side, child in enumerate((inputs[0], inputs[1] if len(inputs) == 2 else None)):
-                rows[me][1 + side], found = walk(child)
-                below += found
-        if node["Node Type"] in SCANS and node.get("Relation Name"):
-            below.append(node["Relation Name"])
-        rows[me][8] = sorted(below)
-        return me + 1, below
-
-    walk(root)
+            stack += [(inputs[1] if len(inputs) == 2 else None, me, 2), (inputs[0], me, 1)]
+    for r in reversed(rows):  # inputs come after the node they feed
+        r[8] = sorted(r[8] + [x for at in (r[1], r[2]) if at for x in rows[at - 1][8]])
     return [tuple(r) for r in rows]
 
 
@@ -167,7 +164,12 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("query_id", "cand_id", "pre_idx", F.size("feat").alias("n_features"), F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"))
 
 
+def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_nodes(plans(spark)).where("pre_idx = 1").select("query_id", "cand_id", (F.col("execution_ms") / 1000).alias("seconds"))
+
+
 QUERIES = {
+    "plan_seconds": _seconds,
     "plan_tree_preorder": _preorder,
     "plan_relation_counts": _relation_counts,
     "log_minmax_norm": _norm,
@@ -187,8 +189,11 @@ _SCANS = ", ".join(f"'{s}'" for s in SCANS)
 _SLOT = "GREATEST(COALESCE(list_position([" + ", ".join(f"'{o}'" for o in OPERATORS) + "], node_type), 1) - 1, 0)"
 _COUNTS = f"SELECT a.query_id, a.cand_id, a.pre_idx, b.relation, COUNT(*) AS n FROM n a JOIN n b ON a.query_id = b.query_id AND a.cand_id = b.cand_id AND a.path = b.path[1:len(a.path)] WHERE b.node_type IN ({_SCANS}) GROUP BY ALL"
 _BOUNDS = "(SELECT MIN(LN(1 + plan_rows)) AS lo, MAX(LN(1 + plan_rows)) AS hi, MIN(LN(1 + ms)) AS lot, MAX(LN(1 + ms)) AS hit FROM n WHERE is_real)"
+_PREORDER = """SELECT a.query_id, a.cand_id, a.pre_idx, COALESCE(l.pre_idx, 0) AS left_idx, COALESCE(r.pre_idx, 0) AS right_idx, a.node_type FROM n a
+    LEFT JOIN n l ON l.query_id = a.query_id AND l.cand_id = a.cand_id AND l.path = list_append(a.path, 0) LEFT JOIN n r ON r.query_id = a.query_id AND r.cand_id = a.cand_id AND r.path = list_append(a.path, 1)"""
 ORACLE_SQL = {
-    "plan_tree_preorder": f"{_TREE} SELECT a.query_id, a.cand_id, a.pre_idx, COALESCE(l.pre_idx, 0) AS left_idx, COALESCE(r.pre_idx, 0) AS right_idx, a.node_type FROM n a LEFT JOIN n l ON l.query_id = a.query_id AND l.cand_id = a.cand_id AND l.path = list_append(a.path, 0) LEFT JOIN n r ON r.query_id = a.query_id AND r.cand_id = a.cand_id AND r.path = list_append(a.path, 1)",
+    "plan_seconds": f"{_TREE} SELECT query_id, cand_id, ms / 1000 AS seconds FROM n WHERE pre_idx = 1",
+    "plan_tree_preorder": f"{_TREE} {_PREORDER}",
     "plan_relation_counts": f"{_TREE} {_COUNTS}",
     "log_minmax_norm": f"{_TREE} SELECT query_id, cand_id, pre_idx, ROUND((LN(1 + plan_rows) - lo) / (hi - lo), 6) AS norm_rows, ROUND((LN(1 + ms) - lot) / (hit - lot), 6) AS norm_time FROM n, {_BOUNDS} WHERE is_real",
     "op_one_hot": f"{_TREE} SELECT query_id, cand_id, pre_idx, CAST({_SLOT} AS INTEGER) AS slot FROM n",

@@ -86,10 +86,10 @@ def forward(params: list[np.ndarray], x: np.ndarray, idx: np.ndarray, n_conv: in
 
 
 def backward(params: list[np.ndarray], cache: list, d_score: np.ndarray, n_conv: int = len(WIDTHS)) -> list[np.ndarray]:
-    """Gradients of the parameters from the gradient of the scores."""
+    """Gradients of the parameters from the gradient of the scores; without dense layers, of the embedding."""
     idx, saved, top, shape, layers = cache
     grads = [np.zeros_like(p) for p in params]
-    d = d_score[:, None]
+    d = d_score[:, None] if layers else d_score
     for k in range(len(layers) - 1, -1, -1):
         h, a = layers[k]
         if k < len(layers) - 1:
@@ -175,6 +175,61 @@ def score(params: list[np.ndarray], trees: list[Tree]) -> tuple[np.ndarray, np.n
     return s, e
 
 
-def uncertain_loss(p: np.ndarray, t: np.ndarray, var: np.ndarray, close: np.ndarray, alpha: float = 0.2) -> np.ndarray:
+#: Weight of pairs whose labels differ by less than the bound, and that bound.
+CLOSE_WEIGHT, CLOSE = 0.2, 0.1
+
+
+def init_uncertain(n_features: int, seed: int = 0, widths: tuple[int, ...] = WIDTHS, hidden: int = DENSE[0]) -> list[np.ndarray]:
+    """Convolutions, then a head on two embeddings side by side: probability that the first is no faster, and log variance."""
+    conv = init(n_features, seed, widths)[: 2 * len(widths)]
+    rng, out = np.random.default_rng(seed + 1), []
+    for a, b in ((2 * widths[-1], hidden), (hidden, 2)):
+        out += [rng.uniform(-1, 1, (a, b)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)]
+    return conv + out
+
+
+def _uncertain_forward(params: list[np.ndarray], first: list[Tree], second: list[Tree]) -> tuple[np.ndarray, np.ndarray, tuple]:
+    n = len(params) - 4
+    _, ea, ca = forward(params[:n], *batch(first), n_conv=n // 2)
+    _, eb, cb = forward(params[:n], *batch(second), n_conv=n // 2)
+    x = np.concatenate([ea, eb], axis=1)
+    a = x @ params[n] + params[n + 1]
+    h = np.where(a > 0, a, SLOPE * a)
+    z = h @ params[n + 2] + params[n + 3]
+    return sigmoid(z[:, 0]), z[:, 1], (ca, cb, x, a, h)
+
+
+def uncertain(params: list[np.ndarray], first: list[Tree], second: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
+    """For each two trees: probability that the first is no faster, and the variance of it."""
+    p, log_var, _ = _uncertain_forward(params, first, second)
+    return p, np.exp(log_var)
+
+
+def uncertain_gradients(params: list[np.ndarray], first: list[Tree], second: list[Tree], t: np.ndarray, close: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean `uncertain_loss` of pairs of labels t whose latencies differ by `close`, and its gradients."""
+    n = len(params) - 4
+    p, log_var, (ca, cb, x, a, h) = _uncertain_forward(params, first, second)
+    var = np.exp(log_var)
+    weight = np.where(np.abs(close) < CLOSE, CLOSE_WEIGHT, 1.0) / len(t)
+    dz = np.stack([-weight * (t - p) / var * p * (1 - p), weight * (0.5 - (t - p) ** 2 / (2 * var))], axis=1)
+    da = (dz @ params[n + 2].T) * np.where(a > 0, 1.0, SLOPE)
+    dx = da @ params[n].T
+    half = dx.shape[1] // 2
+    conv = [u + v for u, v in zip(backward(params[:n], ca, dx[:, :half], n // 2), backward(params[:n], cb, dx[:, half:], n // 2))]
+    return float(uncertain_loss(p, t, var, close).mean()), conv + [x.T @ da, da.sum(0), h.T @ dz, dz.sum(0)]
+
+
+def fit_uncertain(trees: list[Tree], pairs: list[tuple[int, int, float, float]], epochs: int = 100, size: int = 64, seed: int = 0, params: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Minimises `uncertain_loss` over pairs (a, b, label, difference of the latencies) of places in `trees`."""
+    params = params if params is not None else init_uncertain(trees[0].feat.shape[1], seed)
+    adam, p = Adam(params), np.array(pairs, float).reshape(-1, 4)
+    for some in _epochs(len(p), epochs, size, seed):
+        a, b = p[some, 0].astype(int), p[some, 1].astype(int)
+        _, grads = uncertain_gradients(params, [trees[i] for i in a], [trees[i] for i in b], p[some, 2], p[some, 3])
+        adam.step(params, grads)
+    return params
+
+
+def uncertain_loss(p: np.ndarray, t: np.ndarray, var: np.ndarray, close: np.ndarray, alpha: float = CLOSE_WEIGHT) -> np.ndarray:
     """Gaussian loss log(var) / 2 + (t - p) ** 2 / (2 var) of predictions with a variance; pairs of close labels weigh alpha."""
-    return np.where(np.abs(close) < 0.1, alpha, 1.0) * (0.5 * np.log(var) + (t - p) ** 2 / (2 * var))
+    return np.where(np.abs(close) < CLOSE, alpha, 1.0) * (0.5 * np.log(var) + (t - p) ** 2 / (2 * var))

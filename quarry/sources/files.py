@@ -28,9 +28,13 @@ def read_plan_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, cand_id, plan_json) of lines `plan#####plan...`: the training form, without ids; a line's hash stands for its id."""
-    parts = F.split(F.trim("value"), SEPARATOR)
-    return spark.read.text(path).where(F.trim("value") != "").select(F.xxhash64("value").cast("string").alias("query_id"), F.posexplode(parts).alias("cand_id", "plan_json"))
+    """(query_id, cand_id, plan_json) of lines `plan#####plan...`: the training form, without ids.
+
+    A line's hash stands for its id; a line that stands there several times is one query for each time, `hash-1` and so on."""
+    lines = spark.read.text(path).where(F.trim("value") != "").groupBy("value").agg(F.count("*").alias("n"))
+    each = lines.select("value", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("time"))
+    name = F.concat(F.xxhash64("value").cast("string"), F.when(F.col("time") > 0, F.concat(F.lit("-"), F.col("time").cast("string"))).otherwise(""))
+    return each.select(name.alias("query_id"), F.posexplode(F.split(F.trim("value"), SEPARATOR)).alias("cand_id", "plan_json"))
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +63,16 @@ def write_result(chosen: DataFrame, path: str) -> None:
     rows.unionByName(rows.agg(F.lit("sum").alias("query"), F.sum("seconds").alias("seconds"))).coalesce(1).write.json(path)
 
 
+def append_latency(spark: SparkSession, path: str, batch: int, total: float) -> None:
+    """Add a batch's total latency in seconds to the series at `path`; a batch that is there already is replaced."""
+    spark.createDataFrame([(float(total),)], "total double").coalesce(1).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def read_latencies(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, total) of a series of batches."""
+    return spark.read.schema("total double, batch int").json(path).select("batch", "total")
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, user: str, password: str, **options: str) -> DataFrame:
     """A table of an external database, for workloads whose tables live there."""
     return spark.read.jdbc(url, name, properties={"user": user, "password": password, **options})

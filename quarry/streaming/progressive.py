@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.plans.ranker import evaluate, train
+from quarry.sources.files import append_latency
 
 
 def progressive(batches: Iterable[DataFrame], epochs: int = 20, kind: str = "pairwise", retrain: bool = True) -> list[tuple[int, float]]:
@@ -25,8 +26,23 @@ def progressive(batches: Iterable[DataFrame], epochs: int = 20, kind: str = "pai
     return out
 
 
-def follow(spark: SparkSession, source: str, checkpoint: str, sink: str, schema: str = "query_id long, cand_id int, plan_json string") -> None:
-    """Structured-streaming form: plan files that arrive in `source` are appended to `sink` as one batch after the other, exactly once."""
+def follow(
+    spark: SparkSession, source: str, checkpoint: str, sink: str, schema: str = "query_id long, cand_id int, plan_json string", models: str | None = None, epochs: int = 20, kind: str = "pairwise"
+) -> None:
+    """Structured-streaming form: plan files that arrive in `source` are one batch after the other, each kept in `sink` exactly once.
+
+    With `models`, each batch's plans are chosen by the last model, their total latency joins the series in `models`/latency, and
+    a model is trained on all plans so far. A batch that is done again after a failure replaces what it left."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if models is None:
+            return
+        plans = spark.read.schema(batch.schema).parquet(f"{sink}/batch={number}")
+        if number:
+            append_latency(spark, f"{models}/latency", number, float(evaluate(plans, spark.read.parquet(f"{models}/model-{number - 1}"))["total"].first()["total"]))
+        train(spark.read.parquet(sink).where(f"batch <= {number}").drop("batch"), kind, epochs).write.mode("overwrite").parquet(f"{models}/model-{number}")
+
     stream = spark.readStream.schema(schema).json(source)
-    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
