@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, common, decontaminate, quality, toxicity, wide_simhash
 from quarry.session import scratch_path, table, written
 
+#: Words of a benchmark item from which a document that holds it goes: a word or two of one are in any text.
+REJECT_WORDS = 5
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list; rows of null or few words go."""
@@ -28,9 +38,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return pa.StructArray.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.float64()) for c, k in zip(columns, kinds)], names=names)
 
     common.bounded(spark)
-    stats = docs.withColumn("__stats", measured("text"))
-    of = lambda name: F.col("__stats")[name]
-    return stats.where(~quality.base_failed(of) & quality.verdict(rules, of)).drop("__stats")
+    own = fresh(docs, "stats")
+    stats = docs.withColumn(own, measured("text"))
+    of = lambda name: F.col(own)[name]
+    return stats.where(~quality.base_failed(of) & quality.verdict(rules, of)).drop(own)
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +61,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with equal ids and texts are one document; rows without an id are all kept."""
     first = wide_simhash.duplicate_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    rows = docs.join(first, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    text = fresh(docs, "text_hash")
+    rows = docs.join(first, "doc_id", "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, at most a fifth of its words edited."""
+    """Documents that hold no benchmark item of REJECT_WORDS words or more, at most a fifth of its words edited."""
     common.bounded(spark)
-    for index in decontaminate.indexes(table(spark, sf_dir, "benchmark")):
+    for index in decontaminate.indexes(table(spark, sf_dir, "benchmark"), min_words=REJECT_WORDS):
         docs = docs.where(~_holds(spark.sparkContext.broadcast(index))("text"))
     return docs
 
