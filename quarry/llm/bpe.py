@@ -56,11 +56,21 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def as_expected(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE as this module does it: its split, no normaliser, no prefix, plain merges, special tokens as they stand."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    merges = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return plain and merges and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+
+
 class Merges:
-    """A byte-level BPE file of the tokenizers library: ids by byte, merges by pair, bytes by id, special tokens."""
+    """A byte-level BPE file of the tokenizers library: ids by byte, merges by pair, bytes by id, special tokens. Other files are an error."""
 
     def __init__(self, content: str):
         spec, chars = json.loads(content), byte_of_char()
+        if not as_expected(spec):
+            raise ValueError("not a byte-level BPE tokenizer with the plain split")
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.widest = max(map(len, self.specials), default=1)

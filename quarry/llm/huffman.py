@@ -137,7 +137,7 @@ def _id_batches(it: Iterator[pa.RecordBatch], vocab: Broadcast, end: int) -> Ite
     tail, total = np.array([end], encoder.dtype).tobytes(), np.zeros(max(encoder.size, end + 1), np.int64)
     names = ["part", "seq", "doc_id", "ids"]
     for batch in it:
-        ids = [x + tail for x in encoder.words.encode_all(batch.column(1).to_pylist())]
+        ids = [x + tail for x in encoder.encode_all(batch.column(1).to_pylist())]
         for lo in range(0, len(ids), 100):
             total += np.bincount(np.frombuffer(b"".join(ids[lo : lo + 100]), encoder.dtype), minlength=len(total))
         n = batch.num_rows

@@ -1,4 +1,7 @@
-"""Token ids from the tokenizers library, whole texts at a time, with a bounded table of what words gave."""
+"""Token ids from the tokenizers library, whole texts at a time, with a bounded table of what words gave.
+
+The table holds for tokenizer files whose split `bpe` knows; texts go to the library as a whole with any other.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quarry.llm.bpe import NEWLINES, Closed, byte_of_char
+from quarry.llm.bpe import NEWLINES, Closed, as_expected, byte_of_char
 
 #: Words encoded as one text.
 TOGETHER = 2000
@@ -105,13 +108,16 @@ class Library:
         self.size = size
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.lengths = self.byte_lengths()
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_expected = as_expected(json.loads(content))
+        if not self.as_expected:
+            return
         # the same model for pieces that are known already: bytes in the byte-level alphabet, a newline between pieces
         model = json.loads(content)["model"]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]))
         self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         chars = {b: c for c, b in byte_of_char().items()}
         self.alphabet = "".join("\n" if b == 10 else chars[b] for b in range(256))
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self._words, self._whole, specials)
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -151,8 +157,12 @@ class Library:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as bytes; null: none."""
+        return self.words.encode_all(texts) if self.as_expected else [self._whole(x or "") for x in texts]
+
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.words.encode(text or ""), self.dtype)
+        return np.frombuffer(self.encode_all([text or ""])[0], self.dtype)
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for."""

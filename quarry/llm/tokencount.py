@@ -51,11 +51,13 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray) -> tuple[
 
 def _batches(it: Iterator[pa.RecordBatch], vocab: Broadcast) -> Iterator[pa.RecordBatch]:
     encoder = library(vocab.value)
+    if not encoder.as_expected:
+        raise ValueError("tokens' spans follow from their bytes in byte-level BPE only")
     sizes = encoder.lengths
     for batch in it:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
         texts = batch.column(1).to_pylist()
-        for doc, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.words.encode_all(texts)):
+        for doc, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.encode_all(texts)):
             text, ids = text or "", np.frombuffer(ids, encoder.dtype)
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             after = np.flatnonzero(raw == 10) + 1  # bytes at which a line may begin
