@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import sigmoid
 from quarry.session import table, written
 
 
@@ -88,7 +89,15 @@ def _rounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "cand_id", "place", "square", "fourth", F.round(F.log10("exponential"), 6).alias("log_exponential"))
 
 
+def pair_probability(cands: DataFrame) -> DataFrame:
+    """(query_id, cand_a, cand_b, probability): by the scores, that the first of two candidates is no faster."""
+    a = cands.select("query_id", F.col("cand_id").alias("cand_a"), F.col("score").alias("score_a"))
+    b = cands.select("query_id", F.col("cand_id").alias("cand_b"), F.col("score").alias("score_b"))
+    return a.join(b, "query_id").where("cand_a < cand_b").select("query_id", "cand_a", "cand_b", sigmoid(F.col("score_a") - F.col("score_b")).alias("probability"))
+
+
 QUERIES = {
+    "pair_probability": lambda s, d: pair_probability(candidates(s, d)).withColumn("probability", F.round("probability", 6) + 0.0),
     "order_numbers": lambda s, d: numbered(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "number"),
     "candidate_pairs": lambda s, d: pairs(_orders(s, d)),
     "rank_scores": _rounded_scores,
@@ -105,6 +114,7 @@ _RHO = f"""WITH r AS (SELECT query_id, RANK() OVER (PARTITION BY query_id ORDER
     RANK() OVER (PARTITION BY query_id ORDER BY latency) + (COUNT(*) OVER (PARTITION BY query_id, latency) - 1) / 2.0 AS y FROM ({_CANDS}))
     SELECT query_id, CASE WHEN MIN(x) < MAX(x) AND MIN(y) < MAX(y) THEN CORR(x, y) END AS rho FROM r GROUP BY query_id"""
 ORACLE_SQL = {
+    "pair_probability": f"WITH c AS ({_CANDS}) SELECT query_id, a.cand_id AS cand_a, b.cand_id AS cand_b, ROUND(1 / (1 + EXP(b.score - a.score)), 6) + 0.0::DOUBLE AS probability FROM c a JOIN c b USING (query_id) WHERE a.cand_id < b.cand_id",
     "order_numbers": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS number FROM orders",
     "candidate_pairs": "SELECT a.o_custkey AS query_id, a.o_orderkey AS cand_a, b.o_orderkey AS cand_b, CASE WHEN a.o_totalprice >= b.o_totalprice THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey",
     "rank_scores": "SELECT query_id, cand_id, place, POW(place, 2) AS square, POW(place, 4) AS fourth, ROUND(LOG10(EXP(place)), 6) AS log_exponential FROM (SELECT o_custkey AS query_id, o_orderkey AS cand_id, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place FROM orders)",

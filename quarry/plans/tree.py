@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import normalized
+from quarry.functions.scalars import denormalized, normalized
 from quarry.session import ship
 
 # The order of the operators is part of the feature's format.
@@ -154,6 +154,13 @@ def _norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query_id", "cand_id", "pre_idx", F.round(normalized(F.col("plan_rows"), F.col("lo_plan_rows"), F.col("hi_plan_rows")), 6).alias("norm_rows"), F.round(normalized(F.col("execution_ms"), F.col("lo_execution_ms"), F.col("hi_execution_ms")), 6).alias("norm_time"))
 
 
+def _inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = plan_nodes(plans(spark))
+    x = real(n).crossJoin(F.broadcast(bounds(n)))
+    lo, hi = F.col("lo_plan_rows"), F.col("hi_plan_rows")
+    return x.select("query_id", "cand_id", "pre_idx", F.round(denormalized(normalized(F.col("plan_rows"), lo, hi), lo, hi), 4).alias("plan_rows"))
+
+
 def _one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_nodes(plans(spark)).select("query_id", "cand_id", "pre_idx", slot(F.col("node_type")).alias("slot"))
 
@@ -173,6 +180,7 @@ QUERIES = {
     "plan_tree_preorder": _preorder,
     "plan_relation_counts": _relation_counts,
     "log_minmax_norm": _norm,
+    "log_minmax_inverse": _inverse,
     "op_one_hot": _one_hot,
     "plan_features": _features,
 }
@@ -196,6 +204,7 @@ ORACLE_SQL = {
     "plan_tree_preorder": f"{_TREE} {_PREORDER}",
     "plan_relation_counts": f"{_TREE} {_COUNTS}",
     "log_minmax_norm": f"{_TREE} SELECT query_id, cand_id, pre_idx, ROUND((LN(1 + plan_rows) - lo) / (hi - lo), 6) AS norm_rows, ROUND((LN(1 + ms) - lot) / (hit - lot), 6) AS norm_time FROM n, {_BOUNDS} WHERE is_real",
+    "log_minmax_inverse": f"{_TREE} SELECT query_id, cand_id, pre_idx, plan_rows FROM n WHERE is_real",
     "op_one_hot": f"{_TREE} SELECT query_id, cand_id, pre_idx, CAST({_SLOT} AS INTEGER) AS slot FROM n",
     "plan_features": f"""{_TREE} SELECT query_id, cand_id, pre_idx, CAST({len(OPERATORS)} + (SELECT COUNT(DISTINCT relation) FROM n) + 3 AS INTEGER) AS n_features,
         ROUND(1 + COALESCE(c.n, 0) + plan_width + CASE WHEN plan_rows = 0 THEN 0 ELSE (LN(1 + plan_rows) - lo) / (hi - lo) END, 6) AS feature_sum

@@ -202,3 +202,13 @@ def test_entry_stands_without_the_corpus_part(monkeypatch, capsys):
 
     monkeypatch.setattr(builtins, "__import__", broken)
     assert set(entry.queries()) == set(entry.catalog.QUERIES) and set(entry.oracle_sql()) == set(entry.catalog.ORACLE_SQL)
+
+
+def test_tables_of_an_external_database(spark):
+    url, driver = "jdbc:derby:memory:quarry;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark.createDataFrame([(1, 2.5), (2, 3.5)], "id int, x double").write.jdbc(url, "small", "overwrite", driver)
+    except Exception as e:
+        pytest.skip(f"no database in this installation: {type(e).__name__}")
+    got = files.read_jdbc(spark, url, "small", "", "", **driver)
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(1, 2.5), (2, 3.5)]
