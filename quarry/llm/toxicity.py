@@ -136,10 +136,17 @@ def _raw_kernels(words: list[str], row_of: np.ndarray, land: np.ndarray) -> np.n
             some = np.array(at[lo : lo + 1000])
             codes, w, scale = subsequences([words[k] for k in some], n)
             rows = row_of[codes]
-            word, place = np.nonzero(rows)  # sorted by word
-            if len(word):
-                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                out[some[word[first]]] = np.add.reduceat(land[rows[word, place]] * (w[place] * scale[word]).astype(np.float32)[:, None], first, axis=0)
+            hits = np.count_nonzero(rows, axis=1)
+            rank = np.argsort(-hits, kind="stable")  # words of many hits first: the k-th hits of all words that have so many are added at once
+            word, place = np.nonzero(rows[rank])
+            slot = np.arange(len(word)) - np.searchsorted(word, word)
+            at_row = np.zeros((int(hits.max(initial=0)), len(some)), np.int32)
+            weight = np.zeros(at_row.shape, np.float32)
+            at_row[slot, word], weight[slot, word] = rows[rank][word, place], w[place] * scale[rank][word]
+            total = np.zeros((len(some), land.shape[1]), np.float32)
+            for k, n_words in enumerate(np.searchsorted(-hits[rank], -np.arange(len(at_row)), "left").tolist()):
+                total[:n_words] += land[at_row[k, :n_words]] * weight[k, :n_words, None]
+            out[some[rank]] = total
     return out
 
 
