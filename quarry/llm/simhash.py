@@ -32,8 +32,8 @@ from quarry.session import written
 BITS = 64
 #: Members of a block beyond which it is split by a block of the other bits, and levels of splitting.
 SPLIT_AT, LEVELS = 4096, 3
-#: Node pairs expanded at once, and pairs of leaves below which two nodes are compared directly.
-FRONTIER, DIRECT = 400_000, 64
+#: Node pairs expanded at once, pairs of keys below which two nodes are compared directly, and such pairs at once.
+FRONTIER, DIRECT, AT_ONCE = 400_000, 4096, 2_000_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -86,16 +86,18 @@ def _free(taken: tuple[tuple[int, int], ...]) -> list[int]:
     return [b for b in range(BITS) if not any(lo <= b < hi for lo, hi in taken)]
 
 
-def trie_links(keys: np.ndarray, prefix: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over sorted distinct `keys` that agree in `prefix` high bits and differ in <= budget.
+def group_links(keys: np.ndarray, cuts: np.ndarray, budget: int, parent: np.ndarray | None = None, prefix: int = 0, direct_to: int = DIRECT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a spanning forest of each group's keys within `budget` bits, and each key's component. keys: rows of 64-bit words, sorted
+    within groups; cuts: where groups begin, and the end.
 
-    A node is a run of keys that agree in the bits so far. Pairs of nodes go down together a bit at a time, the deeper
-    half first in blocks of bounded size; a pair whose keys are known to be one component already is dropped.
-    """
+    A group's keys are a trie, a node is a run of keys that agree in the bits so far. Pairs of nodes go down together a bit at a time,
+    adding up their differing bits; a pair over the budget, or whose keys are known to be one component already, is dropped, and
+    a small one is compared directly. prefix: bits in which all keys of a group agree. parent: the first key of each key's
+    component, as far as it is known; links inside of it are left out. direct_to: pairs of keys that are compared directly."""
     n = len(keys)
-    parent = np.arange(n)
+    parent = np.arange(n) if parent is None else parent
+    runs = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
     out_a, out_b = [], []
-    runs = np.zeros(n, np.int64)  # running count of changes of the component along the sorted keys
 
     def union(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal parent, runs
@@ -106,7 +108,7 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int) -> tuple[np.ndarray,
             if not len(a):
                 break
             hi, lo = np.maximum(ra, rb), np.minimum(ra, rb)
-            _, first = np.unique(hi, return_index=True)  # each root gets one new parent at a time
+            _, first = np.unique(hi, return_index=True)
             out_a.append(a[first])
             out_b.append(b[first])
             parent[hi[first]] = lo[first]
@@ -117,51 +119,63 @@ def trie_links(keys: np.ndarray, prefix: int, budget: int) -> tuple[np.ndarray,
                 parent = up
         runs = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
 
-    ones: dict[int, np.ndarray] = {}
-
     def split(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
+            ones.clear()
+            ones[bit] = np.concatenate(([0], np.cumsum((keys[:, bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1), dtype=np.int64)))
         return hi - (ones[bit][hi] - ones[bit][lo])
 
-    union(np.empty(0, np.int64), np.empty(0, np.int64))
-    stack = [(BITS - 1, np.array([[0], [n], [0], [n], [0]], np.int64))]
+    ones: dict[int, np.ndarray] = {}
+    bits = 64 * keys.shape[1]
+    lo, hi = cuts[:-1], cuts[1:]
+    more = hi - lo > 1
+    stack = [(prefix, np.stack([lo[more], hi[more], lo[more], hi[more], np.zeros(int(more.sum()), np.int64)]))]
     while stack:
         bit, pairs = stack.pop()
+        if pairs.shape[1] > FRONTIER:
+            stack += [(bit, x) for x in reversed(np.array_split(pairs, -(-pairs.shape[1] // FRONTIER), axis=1))]
+            continue
         one = (runs[pairs[0]] == runs[pairs[1] - 1]) & (runs[pairs[2]] == runs[pairs[3] - 1]) & (parent[pairs[0]] == parent[pairs[2]])
         pairs = pairs[:, ~one]
         if not pairs.shape[1]:
             continue
-        if pairs.shape[1] > FRONTIER:
-            stack += [(bit, x) for x in reversed(np.array_split(pairs, -(-pairs.shape[1] // FRONTIER), axis=1))]
-            continue
         size = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
-        direct = (size <= DIRECT) if bit < BITS - prefix else (size < 0)
-        if bit < 0:
-            direct[:] = True
-        if direct.any():
-            near, size = pairs[:, direct], size[direct]
-            which = np.repeat(np.arange(len(size)), size)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            width = (near[3] - near[2])[which]
-            a, b = near[0][which] + step // width, near[2][which] + step % width
-            hit = (a < b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
-            union(a[hit], b[hit])
-            pairs = pairs[:, ~direct]
-            if not pairs.shape[1]:
-                continue
-        la, ha, lb, hb, d = pairs
+        direct = size <= direct_to if bit < bits else size >= 0
+        near, far, size = pairs[:, direct], pairs[:, ~direct], size[direct]
+        while near.shape[1]:
+            k = max(1, int(np.searchsorted(np.cumsum(size), AT_ONCE, "right")))
+            some, n_some, near, size = near[:, :k], size[:k], near[:, k:], size[k:]
+            which = np.repeat(np.arange(len(n_some)), n_some)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(n_some) - n_some, n_some)
+            width = (some[3] - some[2])[which]
+            a, b = some[0][which] + step // width, some[2][which] + step % width
+            on = (a < b) & (parent[a] != parent[b])
+            a, b = a[on], b[on]
+            d = np.zeros(len(a), np.int64)
+            for w in range(keys.shape[1]):  # differing bits add up word by word; pairs over the budget drop out
+                d += np.bitwise_count(keys[a, w] ^ keys[b, w])
+                if w + 1 < keys.shape[1]:
+                    on = d <= budget
+                    a, b, d = a[on], b[on], d[on]
+            union(a[d <= budget], b[d <= budget])
+        if not far.shape[1]:
+            continue
+        la, ha, lb, hb, d = far
         ma, mb = split(la, ha, bit), split(lb, hb, bit)
-        same = la == lb
-        cross = ~same
-        grown = [np.stack([la, ma, lb, mb, d]), np.stack([ma, ha, mb, hb, d])]
-        if bit < BITS - prefix:
-            grown += [np.stack([la, ma, mb, hb, d + 1]), np.stack([ma, ha, lb, mb, d + 1])[:, cross]]
-        grown = np.concatenate(grown, axis=1)
-        stack.append((bit - 1, grown[:, (grown[0] < grown[1]) & (grown[2] < grown[3]) & (grown[4] <= budget)]))
+        cross = la != lb
+        grown = np.concatenate([np.stack([la, ma, mb, hb, d + 1]), np.stack([ma, ha, lb, mb, d + 1])[:, cross], np.stack([la, ma, lb, mb, d]), np.stack([ma, ha, mb, hb, d])], axis=1)
+        stack.append((bit + 1, grown[:, (grown[0] < grown[1]) & (grown[2] < grown[3]) & (grown[4] <= budget)]))
     if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.empty(0, np.int64), np.empty(0, np.int64), parent
+    return np.concatenate(out_a), np.concatenate(out_b), parent
+
+
+def trie_links(keys: np.ndarray, prefix: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over sorted distinct `keys` that agree in `prefix` high bits and differ in <= budget."""
+    high = keys >> np.uint64(BITS - prefix) if prefix else np.zeros(len(keys), np.uint64)
+    cuts = np.concatenate(([0], np.flatnonzero(high[1:] != high[:-1]) + 1, [len(keys)]))
+    a, b, _ = group_links(keys[:, None], cuts, budget, prefix=prefix, direct_to=64)  # a comparison of one word is cheap, but so is a step down
+    return a, b
 
 
 def _taken_bits(levels: str) -> tuple[tuple[int, int], ...]:

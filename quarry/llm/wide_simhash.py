@@ -4,7 +4,7 @@ A 64-bit fingerprint tells copies of a similarity of 0.8 from others only roughl
 for each of as many mixes of its distinct shingles' hashes. Two documents of Jaccard similarity s differ in a share
 acos(2s / (1 + s)) / pi of the bits; candidates may differ in that many bits and three standard deviations. Documents that agree on
 a band of bits meet in that band's trie, whose node pairs are walked together, adding up differing bits until they exceed the
-budget (`trie_links`, over bits of all words). A band begins every BAND_STEP bits: by the formula about 0.98 of the pairs at the
+budget (`group_links`, over bits of all words). A band begins every BAND_STEP bits: by the formula about 0.98 of the pairs at the
 similarity asked for agree on one and are within the budget, and more above it.
 
 The components of the candidates are then taken apart by the exact similarity of their members' sets of shingles (`set_links`):
@@ -30,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_map, components
-from quarry.llm.simhash import shingle_hashes
+from quarry.llm.simhash import group_links, shingle_hashes
 from quarry.session import written
 
 WORDS, BAND_BITS, BAND_STEP, SPLIT_AT = 10, 16, 8, 4096
 #: Candidates' ids and fingerprints (about 100 bytes each) that are broadcast; more are joined by a shuffle.
 SENT_ROWS = 100_000
-#: Pairs of documents compared directly at a node pair, and at once.
-DIRECT, AT_ONCE = 4096, 2_000_000
 
 
 def budget_bits(similarity: float, bits: int) -> int:
@@ -73,83 +71,6 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], size: int, words: in
         yield pa.RecordBatch.from_arrays([batch.column(0), prints, *more], ["id", "fp", "shingles"][: 2 + whole])
 
 
-def group_links(keys: np.ndarray, cuts: np.ndarray, budget: int, parent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a spanning forest of each group, and each key's component. keys: rows of 64-bit words, sorted within groups; cuts: where groups begin, and the end.
-
-    parent: the first key of each key's component, as far as it is known; links inside of it are left out."""
-    n = len(keys)
-    parent = np.arange(n) if parent is None else parent
-    runs = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
-    out_a, out_b = [], []
-
-    def union(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal parent, runs
-        while True:
-            ra, rb = parent[a], parent[b]
-            keep = ra != rb
-            a, b, ra, rb = a[keep], b[keep], ra[keep], rb[keep]
-            if not len(a):
-                break
-            hi, lo = np.maximum(ra, rb), np.minimum(ra, rb)
-            _, first = np.unique(hi, return_index=True)
-            out_a.append(a[first])
-            out_b.append(b[first])
-            parent[hi[first]] = lo[first]
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-        runs = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
-
-    def split(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
-        if bit not in ones:
-            ones.clear()
-            ones[bit] = np.concatenate(([0], np.cumsum((keys[:, bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1), dtype=np.int64)))
-        return hi - (ones[bit][hi] - ones[bit][lo])
-
-    ones: dict[int, np.ndarray] = {}
-    bits = 64 * keys.shape[1]
-    lo, hi = cuts[:-1], cuts[1:]
-    more = hi - lo > 1
-    stack = [(0, np.stack([lo[more], hi[more], lo[more], hi[more], np.zeros(int(more.sum()), np.int64)]))]
-    while stack:
-        bit, pairs = stack.pop()
-        one = (runs[pairs[0]] == runs[pairs[1] - 1]) & (runs[pairs[2]] == runs[pairs[3] - 1]) & (parent[pairs[0]] == parent[pairs[2]])
-        pairs = pairs[:, ~one]
-        if not pairs.shape[1]:
-            continue
-        size = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
-        direct = size <= DIRECT if bit < bits else size >= 0
-        near, far, size = pairs[:, direct], pairs[:, ~direct], size[direct]
-        while near.shape[1]:
-            k = max(1, int(np.searchsorted(np.cumsum(size), AT_ONCE, "right")))
-            some, n_some, near, size = near[:, :k], size[:k], near[:, k:], size[k:]
-            which = np.repeat(np.arange(len(n_some)), n_some)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n_some) - n_some, n_some)
-            width = (some[3] - some[2])[which]
-            a, b = some[0][which] + step // width, some[2][which] + step % width
-            on = (a < b) & (parent[a] != parent[b])
-            a, b = a[on], b[on]
-            d = np.zeros(len(a), np.int64)
-            for w in range(keys.shape[1]):  # differing bits add up word by word; pairs over the budget drop out
-                d += np.bitwise_count(keys[a, w] ^ keys[b, w])
-                if w + 1 < keys.shape[1]:
-                    on = d <= budget
-                    a, b, d = a[on], b[on], d[on]
-            union(a[d <= budget], b[d <= budget])
-        if not far.shape[1]:
-            continue
-        la, ha, lb, hb, d = far
-        ma, mb = split(la, ha, bit), split(lb, hb, bit)
-        cross = la != lb
-        grown = np.concatenate([np.stack([la, ma, mb, hb, d + 1]), np.stack([ma, ha, lb, mb, d + 1])[:, cross], np.stack([la, ma, lb, mb, d]), np.stack([ma, ha, mb, hb, d])], axis=1)
-        stack.append((bit + 1, grown[:, (grown[0] < grown[1]) & (grown[2] < grown[3]) & (grown[4] <= budget)]))
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64), parent
-    return np.concatenate(out_a), np.concatenate(out_b), parent
-
-
 def set_links(sets: list[np.ndarray], known: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a spanning forest over sets of distinct values whose Jaccard similarity is at least `similarity`, between sets of different `known` components only."""
     n = len(sets)
