@@ -55,7 +55,7 @@ MARKS = (0.4, 0.7, 1.0)
 #: Toxic documents below which the logistic model learns from the same documents as the words.
 FEW = 60
 #: Words whose margins a worker remembers.
-TABLE = 900_000
+TABLE = 400_000
 SPELLED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 CLOSERS = "\"')]}»”’"
 
@@ -210,16 +210,22 @@ def document_features(m: np.ndarray, marked: float) -> tuple[float, float, float
     return float(np.log1p(soft)), float(np.log1p(1000 * soft / len(m))), float(np.clip(m.max(), -2.0, 2.0))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int = 40) -> np.ndarray:
-    """Primal L2-regularised squared-hinge machine by Newton steps; the last column of x is constant and not regularised."""
-    w, reg = np.zeros(x.shape[1]), np.eye(x.shape[1])
+def _svm(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], c: float, steps: int = 40) -> np.ndarray:
+    """Primal L2-regularised squared-hinge machine by Newton steps over parts (rows, signs, weights), some rows at a time; the last
+    column is constant and not regularised."""
+    width = parts[0][0].shape[1]
+    w, reg = np.zeros(width), np.eye(width)
     reg[-1, -1] = 1e-6
     for _ in range(steps):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        a = x[on] * weight[on, None]
-        g = reg @ w - 2 * c * (a.T @ (y[on] * gap[on]))
-        h = reg + 2 * c * (a.T @ x[on])
+        g, h = reg @ w, reg.copy()
+        for x, y, weight in parts:
+            for lo in range(0, len(x), 10_000):
+                some, sign = x[lo : lo + 10_000].astype(float), y[lo : lo + 10_000]
+                gap = 1 - sign * (some @ w)
+                on = gap > 0
+                a = some[on] * weight[lo : lo + 10_000][on, None]
+                g -= 2 * c * (a.T @ (sign[on] * gap[on]))
+                h += 2 * c * (a.T @ some[on])
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -352,28 +358,29 @@ class Sample:
         root = vector / np.sqrt(np.maximum(value, 1e-3))  # from kernel values to Nyström features
 
         def features(words: list[str]) -> np.ndarray:
-            x = kernels(words, self.row_of, self.land, sharpness) @ root.astype(np.float32)
-            return np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+            x = np.ones((len(words), len(root) + 1), np.float32)
+            for lo in range(0, len(words), 10_000):
+                x[lo : lo + 10_000, :-1] = kernels(words[lo : lo + 10_000], self.row_of, self.land, sharpness) @ root.astype(np.float32)
+            return x
 
-        x = np.concatenate([features(self.vocab[lo : lo + 20_000]) for lo in range(0, len(self.vocab), 20_000)])
+        x = features(self.vocab)
         at, top = self.best(self.z)
         positive = at[: self.n_pos][top[: self.n_pos] >= CLEAR]
         if not len(positive):
             positive = at[: self.n_pos]
         w = None
         for step in range(ROUNDS):
-            rows, y, weight = [], [], []
+            blocks = []
             for words, label, share in ((positive, 1.0, 0.15), (np.concatenate([at[self.n_pos :], self.picked]), -1.0, 0.85)):
                 some, count = np.unique(words, return_counts=True)  # equal words are one row of their weight
-                twisted = features([b for k in some for b in bent(self.vocab[k])])
-                rows += [x[some], twisted]
-                y.append(np.full(3 * len(some), label))
-                each = np.concatenate([count, np.repeat(count, 2)])
-                weight.append(share * each / each.sum())
-            y = np.concatenate(y)
-            w = _svm(np.concatenate(rows), y, np.concatenate(weight) * len(y), C)
+                each = share * count / (3 * count.sum())
+                for rows, times in ((x[some], 1), (features([b for k in some for b in bent(self.vocab[k])]), 2)):
+                    blocks.append((rows, np.full(len(rows), label), np.repeat(each, times)))
+            total = sum(len(rows) for rows, _, _ in blocks)
+            w = _svm([(rows, y, weight * total) for rows, y, weight in blocks], C)
+            del blocks
             if step < ROUNDS - 1:
-                at, top = self.best(x @ w)
+                at, top = self.best(x @ w.astype(np.float32))
                 marked = top[: self.n_pos] > 0
                 positive = at[: self.n_pos][marked] if marked.any() else positive
         return Machine(self.row_of, self.land, sharpness, root @ w[:-1], float(w[-1]))
