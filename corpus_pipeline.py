@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, common, decontaminate, quality, toxicity, wide_simhash
-from quarry.session import scratch_path, table, written
+from quarry.session import discard, table, written
 
 #: Words of a benchmark item from which a document that holds it goes: a word or two of one are in any text.
 REJECT_WORDS = 5
@@ -102,10 +102,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read by the next."""
+    """All stages over `documents`, each written as Parquet, read by the next and then deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = kept
     return docs
