@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def denormalized(z: Column, lo: Column, hi: Column) -> Column:
     return F.expm1(z * (hi - lo) + lo)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: the optimizer copies what a column stands for to each of its uses, into loops over elements too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays; null where their lengths differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -33,8 +40,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def length(vec: Column) -> Column:
     """Euclidean length, 1 for vectors of zeros."""
-    n = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n == 0, 1.0).otherwise(n)
+    return bound(F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n == 0, 1.0).otherwise(n))
 
 
 def sigmoid(x: Column) -> Column:

@@ -151,6 +151,12 @@ def test_groups_of_few_items_list_no_pairs(spark, monkeypatch):
     assert {r["id"]: (r["group_id"], r["size"]) for r in got.collect()} == want
 
 
+def test_standardizing_computes_a_length_once_a_row(spark):
+    u = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 2.0])], "id long, vec array<double>")
+    plan = vectors.standardized(u, u.limit(0))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("sqrt(aggregate(") == 1
+
+
 def test_a_choice_compares_different_vectors_of_its_groups_only(spark, monkeypatch):
     met, real = [], vectors.max_similarity
     monkeypatch.setattr(vectors, "max_similarity", lambda u, *a: met.append(u.count()) or real(u, *a))
