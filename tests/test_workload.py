@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quarry.operators import synth, vectors, workload
+from quarry.operators import predicates, synth, vectors, workload
 from quarry.sources import files
 
 
@@ -165,3 +165,22 @@ def test_a_choice_compares_different_vectors_of_its_groups_only(spark, monkeypat
     groups = u.select("id", (F.when(F.col("id") <= 30, 1).when(F.col("id") <= 60, 40).otherwise(70)).cast("long").alias("group_id"))
     got = sorted(tuple(r) for r in vectors.coreset(u, known, groups, 3, 2).collect())
     assert met == [3] and got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (40, 0, 60), (40, 1, 40), (40, 2, 41)]
+
+
+def test_the_cyclic_join_does_not_pair_a_nations_customers_and_suppliers(spark, tmp_path):
+    import re
+
+    data = {
+        "customer": ([(i, i % 2) for i in range(40)] + [(3, 1), (None, 0), (41, None)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(i, i % 2) for i in range(30)] + [(4, 0), (31, None)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(i, i) for i in range(20)] + [(5, 6), (21, None), (22, 41)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(i, j) for i in range(20) for j in range(0, 32, 3)] + [(5, 4), (5, 4), (22, 31), (None, 1)], "l_orderkey long, l_suppkey long"),
+    }
+    for name, (rows, schema) in data.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    (c, s, o, li) = (data[k][0] for k in ("customer", "supplier", "orders", "lineitem"))
+    want = sum(a == b and n is not None and n == m and k is not None and k == q and t is not None and t == u for a, n in c for k, b in o if b is not None for q, t in li for u, m in s)
+    df = predicates.QUERIES["spj_cyclic_join"](spark, str(tmp_path))
+    assert df.first()["n"] == want
+    joined = re.findall(r"Join Inner, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert len(joined) == 3 and all("key" in x for x in joined) and not any("nationkey" in x and "orderkey" not in x for x in joined)
