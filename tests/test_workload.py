@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import predicates, synth, vectors, workload
@@ -184,3 +185,15 @@ def test_the_cyclic_join_does_not_pair_a_nations_customers_and_suppliers(spark,
     assert df.first()["n"] == want
     joined = re.findall(r"Join Inner, (.*)", df._jdf.queryExecution().optimizedPlan().toString())
     assert len(joined) == 3 and all("key" in x for x in joined) and not any("nationkey" in x and "orderkey" not in x for x in joined)
+
+
+@pytest.mark.parametrize("name", ["largest_groups"])
+def test_registered_groups_list_no_pairs(spark, sf_dir, monkeypatch, name):
+    def listed(*args):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(vectors, "_jaccard_links", listed)
+    groups = vectors.QUERIES["jaccard_groups"](spark, sf_dir).collect()
+    by = {r["group_id"]: r["size"] for r in groups}
+    want = [(r["id"], r["group_id"], r["size"]) for r in groups] if "jaccard" in name else sorted(by.items(), key=lambda x: (-x[1], x[0]))[:8]
+    assert sum(by.values()) == len(groups) and sorted(map(tuple, vectors.QUERIES[name](spark, sf_dir).collect())) == sorted(want)
