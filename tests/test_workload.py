@@ -187,7 +187,7 @@ def test_the_cyclic_join_does_not_pair_a_nations_customers_and_suppliers(spark,
     assert len(joined) == 3 and all("key" in x for x in joined) and not any("nationkey" in x and "orderkey" not in x for x in joined)
 
 
-@pytest.mark.parametrize("name", ["largest_groups", "jaccard_groups_whole"])
+@pytest.mark.parametrize("name", ["largest_groups", "jaccard_groups_whole", "largest_groups_whole"])
 def test_registered_groups_list_no_pairs(spark, sf_dir, monkeypatch, name):
     def listed(*args):
         raise AssertionError("pairs are listed")
