@@ -18,13 +18,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import vocabulary
 from quarry.llm.common import arrow_map, bounded, documents
-from quarry.llm.library import library
+from quarry.llm.library import gathered, library
 from quarry.session import scratch_path, written
 
 END, STRIDE, BLOCK_TOKENS, MAX_BITS, COUNTS = 2, 256, 1 << 16, 16, -1
@@ -134,14 +135,16 @@ def _id_batches(it: Iterator[pa.RecordBatch], vocab: Broadcast, end: int) -> Ite
     from pyspark import TaskContext
 
     encoder, part, seq = library(vocab.value), TaskContext.get().partitionId(), 0
-    tail, total = np.array([end], encoder.dtype).tobytes(), np.zeros(max(encoder.size, end + 1), np.int64)
+    tail, total = pa.scalar(np.array([end], encoder.dtype).tobytes()), np.zeros(max(encoder.size, end + 1), np.int64)
     names = ["part", "seq", "doc_id", "ids"]
-    for batch in it:
-        ids = [x + tail for x in encoder.encode_all(batch.column(1).to_pylist())]
-        for lo in range(0, len(ids), 100):
-            total += np.bincount(np.frombuffer(b"".join(ids[lo : lo + 100]), encoder.dtype), minlength=len(total))
+    for batch in gathered(it, 1):
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column(0), pa.array(ids, pa.binary())], names)
+        ids = pc.binary_join_element_wise(encoder.encode_all(batch.column(1)), tail, b"") if n else pa.array([], pa.binary())
+        for lo in range(0, n, 100):
+            some = pa.concat_arrays([ids.slice(lo, 100)])
+            at = np.frombuffer(some.buffers()[1], np.int32)[[some.offset, some.offset + len(some)]]
+            total += np.bincount(np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[1]].view(encoder.dtype), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0), ids], names)
         seq += n
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([COUNTS], pa.int64()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 

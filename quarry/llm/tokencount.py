@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import vocabulary
 from quarry.llm.common import arrow_map, documents
-from quarry.llm.library import library
+from quarry.llm.library import gathered, library
 
 SCHEMA = "doc_id long, section int, first_char long, n_chars long, n_tokens long, n_crossing long"
 
@@ -54,10 +54,10 @@ def _batches(it: Iterator[pa.RecordBatch], vocab: Broadcast) -> Iterator[pa.Reco
     if not encoder.as_expected:
         raise ValueError("tokens' spans follow from their bytes in byte-level BPE only")
     sizes = encoder.lengths
-    for batch in it:
+    for batch in gathered(it, 1):
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
         texts = batch.column(1).to_pylist()
-        for doc, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.encode_all(texts)):
+        for doc, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.encode_all(batch.column(1)).to_pylist()):
             text, ids = text or "", np.frombuffer(ids, encoder.dtype)
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             after = np.flatnonzero(raw == 10) + 1  # bytes at which a line may begin
